@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskloom.llm.common import alnum_words, let, table
+from taskloom.llm.common import alnum_words, checkpointed, let, table
 
 WINDOW, K = 10, 5
 #: The benchmark side is broadcast up to this many fingerprints (24 bytes each), and shuffled beyond.
@@ -99,7 +99,8 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
             .select("doc_id", "_th", "item_id", (F.col("pos") - F.col("_ipos")).alias("_at"))
         )
         found = one if found is None else found.unionByName(one)
-    aligned = found.distinct()
+    # used twice below; only alignments of documents with a hit, so small against the texts
+    aligned = checkpointed(found.distinct())
 
     # extension: the texts of documents with a hit, against the item at each alignment
     words = (
