@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from taskloom.llm import decontaminate, quality_rules, sharding
+from taskloom.llm import decontaminate, pii, quality_rules, secrets, sharding
 
 
 def queries() -> dict:
     return {
+        "op1_boosted_pii": pii.op1_boosted_pii,
+        "op2_entropy_secret_scan": secrets.op2_entropy_secret_scan,
         "op3_stratified_sharding": sharding.op3_stratified_sharding,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_winnowing_decontamination": decontaminate.op8_winnowing_decontamination,
