@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from taskloom.llm import decontaminate, pii, quality_rules, secrets, sharding
+from taskloom.llm import decontaminate, line_dedup, ngram_join, pii, quality_rules, secrets, sharding
 
 
 def queries() -> dict:
@@ -10,13 +10,16 @@ def queries() -> dict:
         "op1_boosted_pii": pii.op1_boosted_pii,
         "op2_entropy_secret_scan": secrets.op2_entropy_secret_scan,
         "op3_stratified_sharding": sharding.op3_stratified_sharding,
+        "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_winnowing_decontamination": decontaminate.op8_winnowing_decontamination,
+        "op9_bayesian_jaccard_join": ngram_join.op9_bayesian_jaccard_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_line_dedup": line_dedup.ORACLE,
         "op7_quality_rules": quality_rules.ORACLE,
         "op8_winnowing_decontamination": decontaminate.ORACLE,
     }
