@@ -10,10 +10,10 @@ its numbers of links.
 2. Bands of BAND values make buckets. In a bucket each member is compared with
    one pivot, incrementally: after every STEP values a pair is dropped once the
    posterior P(similarity >= 0.8 | matches), under a uniform prior, is below
-   TOLERANCE. Members that stay with a pivot are in one cluster, so they need
-   no comparison with each other here. Members that don't get further pivots
-   (ROUNDS), and what is left is compared with the bucket's members pair by
-   pair. No pair of a bucket is skipped otherwise, and no bucket is cut.
+   TOLERANCE. Pairs that survive connect clusters. Pairs of a bucket in one
+   cluster need no comparison here, as step 3 takes all pairs of a cluster. The
+   others, where the pivot didn't keep a member, are compared in the same way in
+   blocks of BUCKET_BLOCK members. No bucket is cut.
 3. Clusters are the connected components of surviving pairs. All pairs inside a
    cluster are verified exactly on whole shingle sets, in blocks of BLOCK by
    BLOCK members; a block returns link counts and a spanning forest, never its
@@ -46,7 +46,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SHINGLE, THRESHOLD = 5, 0.8
 HASHES, BAND, STEP = 240, 6, 24
 TOLERANCE = 1e-6
-ROUNDS, BLOCK = 2, 128
+BUCKET_BLOCK, BLOCK = 512, 128
 #: Ids of clustered documents are broadcast up to this many (8 bytes each), and shuffled beyond.
 BROADCAST_IDS = 500_000
 
@@ -159,21 +159,72 @@ def candidate_edges(reps: DataFrame) -> DataFrame:
     )
     full = bands.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
     members = checkpointed(bands.join(full, "bucket"))
-    rest, edges = members, None
-    for turn in range(ROUNDS):
-        pivot = rest.groupBy("bucket").agg(F.min("id").alias("pivot"))
-        star = members.join(pivot, "bucket").where("id <> pivot")
-        kept = checkpointed(_compare(star.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), reps))
-        edges = kept if edges is None else edges.unionByName(kept)
-        # who is left: neither a pivot nor kept with one
-        left = rest.join(pivot, "bucket").where("id <> pivot")
-        left = left.join(kept, (left["id"] == kept["a"]) & (left["pivot"] == kept["b"]), "left_anti").select("bucket", "id")
-        rest = checkpointed(left)
-        if rest.isEmpty():
-            return edges
-    others = members.select("bucket", F.col("id").alias("b"))
-    pairs = rest.select("bucket", F.col("id").alias("a")).join(others, "bucket").where("a <> b")
-    return edges.unionByName(_compare(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), reps))
+    pivot = members.groupBy("bucket").agg(F.min("id").alias("pivot"))
+    star = members.join(pivot, "bucket").where("id <> pivot").select("bucket", F.col("id").alias("a"), F.col("pivot").alias("b"))
+    kept = checkpointed(_compare(star.select("a", "b").distinct(), reps))
+
+    # without the pivot, buckets of several clusters that have a member the pivot didn't keep
+    roots = components(kept)
+    marked = star.join(kept.withColumn("near", F.lit(True)), ["a", "b"], "left").select("bucket", F.col("a").alias("id"), F.col("near").isNull().alias("rest"))
+    marked = checkpointed(marked.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    mixed = marked.groupBy("bucket").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("rest").alias("any"), F.ceil(F.count("*") / BUCKET_BLOCK).cast("int").alias("nb")
+    )
+    mixed = mixed.where("lo <> hi and any").select("bucket", "nb")
+    blocks = _block_pairs(marked.join(mixed, "bucket"), "bucket").join(reps.select("id", "sig"), "id")
+    return kept.unionByName(blocks.groupBy("bucket", "i", "j").applyInArrow(_bridges, "a long, b long"))
+
+
+def _block_pairs(rows: DataFrame, group: str) -> DataFrame:
+    """``rows`` (id, nb, ...) dealt to every pair of the nb blocks of their group that they belong to."""
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("id"), "nb").cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    i, j = F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j")
+    rest = [c for c in rows.columns if c not in (group, "nb")]
+    return dealt.select(group, i, j, *rest, F.col("own").alias("side"), (F.col("own") != F.col("k")).alias("cross"))
+
+
+def _allowed(table: pa.Table) -> np.ndarray:
+    """Pairs that this block pair has to look at: all within a block, or all across two."""
+    side = table.column("side").to_numpy()
+    if table.column("cross")[0].as_py():
+        return side[:, None] != side[None, :]
+    return ~np.eye(len(side), dtype=bool)
+
+
+def _bridges(table: pa.Table) -> pa.Table:
+    """One block pair of a bucket: surviving pairs of different clusters, a spanning forest of them."""
+    ids, root = table.column("id").to_numpy(), table.column("root").to_numpy()
+    rest = table.column("rest").to_numpy(zero_copy_only=False)
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
+    todo = np.triu(_allowed(table), 1) & (rest[:, None] | rest[None, :]) & (root[:, None] != root[None, :])
+    x, y = np.nonzero(todo)
+    matches, seen = np.zeros(len(x), np.int64), 0
+    for n, least in least_matches():
+        for lo in range(0, len(x), 65536):  # bounded memory
+            at = slice(lo, lo + 65536)
+            matches[at] += (sig[x[at], seen:n] == sig[y[at], seen:n]).sum(axis=1)
+        live = matches >= least
+        x, y, matches, seen = x[live], y[live], matches[live], n
+    near = np.zeros((len(ids), len(ids)), bool)
+    near[x, y] = near[y, x] = True
+    edges = _forest(near)
+    return pa.table([pa.array([ids[k] for k, _ in edges], pa.int64()), pa.array([ids[k] for _, k in edges], pa.int64())], ["a", "b"])
+
+
+def _forest(link: np.ndarray) -> list[tuple[int, int]]:
+    """(node, parent) edges of a spanning forest, breadth first; each node is reached once."""
+    todo, out = np.ones(len(link), bool), []
+    for root in range(len(link)):
+        if not todo[root]:
+            continue
+        todo[root], front = False, [root]
+        while front:
+            at = front.pop()
+            new = np.flatnonzero(link[at] & todo)
+            todo[new] = False
+            front += new.tolist()
+            out += [(int(k), at) for k in new]
+    return out
 
 
 def _intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -197,26 +248,15 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 def _verified(table: pa.Table) -> pa.Table:
     """One block pair: link counts for each member and a spanning forest of its links."""
-    ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
+    ids = table.column("id").to_numpy()
     weight = table.column("size").to_numpy()
     sets = [np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()]
     sizes = np.array([len(s) for s in sets], np.float32)
     both = _intersections(sets)
     link = both >= np.float32(THRESHOLD) * (sizes[:, None] + sizes[None, :] - both) - 1e-3
-    cross = table.column("cross").to_numpy()[0]
-    link &= (side[:, None] != side[None, :]) if cross else ~np.eye(len(ids), dtype=bool)
+    link &= _allowed(table)
     rows = [(int(i), None, int(n), int(d)) for i, n, d in zip(ids, link.sum(axis=1), link @ weight, strict=True) if n]
-    todo = np.ones(len(ids), bool)
-    for root in range(len(ids)):  # breadth first; each node is reached once
-        if not todo[root]:
-            continue
-        todo[root], front = False, [root]
-        while front:
-            at = front.pop()
-            new = np.flatnonzero(link[at] & todo)
-            todo[new] = False
-            front += new.tolist()
-            rows += [(int(ids[x]), int(ids[at]), 0, 0) for x in new]
+    rows += [(int(ids[a]), int(ids[b]), 0, 0) for a, b in _forest(link)]
     names = ["id", "other", "n_text", "n_docs"]
     return pa.table([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names)
 
@@ -243,16 +283,8 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     wanted = F.broadcast(ids) if _fits(ids, BROADCAST_IDS) else ids
     grams = _hashed_words(docs.join(wanted, "doc_id", "left_semi")).mapInArrow(_shingled, "id long, grams binary")
     grams = grams.dropDuplicates(["id"])
-    placed = (
-        clusters.join(sized, "cluster")
-        .join(reps.select("id", "size"), "id")
-        .join(grams, "id")
-        .withColumn("own", F.pmod(F.xxhash64("id"), "nb").cast("int"))
-        .withColumn("k", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select("cluster", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "id", "size", "grams", F.col("own").alias("side"), (F.col("own") != F.col("k")).alias("_c"))
-        .withColumn("cross", F.col("i") != F.col("j"))
-        .drop("_c")
-    )
+    rows = clusters.join(sized, "cluster").join(reps.select("id", "size"), "id").join(grams, "id")
+    placed = _block_pairs(rows, "cluster")
     checked = placed.groupBy("cluster", "i", "j").applyInArrow(_verified, "id long, other long, n_text long, n_docs long")
     checked = checkpointed(checked)
     counts = checked.where("other is null").groupBy("id").agg(F.sum("n_text").alias("n_text"), F.sum("n_docs").alias("n_docs"))
