@@ -44,7 +44,7 @@ def _counts(text: Column) -> Column:
     rest = F.length(low).cast("long")
     for h, g in zip(hits, GROUPS, strict=True):
         rest = rest - h * len(g)
-    return F.array(*hits, F.greatest(rest, F.lit(0).cast("long")))
+    return F.transform(F.array(*hits, F.greatest(rest, F.lit(0).cast("long"))), lambda x: x.cast("int"))
 
 
 def _words(text: Column) -> Column:
@@ -52,9 +52,15 @@ def _words(text: Column) -> Column:
     return F.when(bare == "", 0).otherwise(F.size(F.split(bare, r"[\x20\x09-\x0D]+"))).cast("long")
 
 
+def features(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` of every row with ``_n`` (words) and ``_c`` (counts); narrow, so what follows needs no texts."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(*[F.col(f"`{c}`") for c in keep], _words(text).alias("_n"), _counts(text).alias("_c"))
+
+
 def learn(labelled: DataFrame) -> dict | None:
-    """Naive Bayes of (text, domain) rows, or None without any."""
-    sums = labelled.where("text is not null and domain is not null").select("domain", _counts(F.col("text")).alias("c"))
+    """Naive Bayes of (domain, _c) rows, or None without any."""
+    sums = labelled.where("domain is not null")
     rows = sums.groupBy("domain").agg(F.count("*").alias("n"), *[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(len(GROUPS) + 1)])
     rows = sorted(rows.limit(MAX_DOMAINS + 1).collect(), key=lambda r: r["domain"])
     if len(rows) > MAX_DOMAINS:
@@ -77,13 +83,6 @@ def posterior(model: dict, counts: Column) -> Column:
     return F.transform(F.array(F.array(*raw)), soft)[0]
 
 
-def with_posteriors(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with ``_n`` (words) and ``_p`` (posteriors)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    counted = docs.withColumn("_n", _words(text)).withColumn("_c", _counts(text))
-    return counted.withColumn("_p", posterior(model, F.col("_c"))).drop("_c")
-
-
 def rate(directions: list[np.ndarray], start: float, p: Column) -> Column:
     """The rate after the projected steps so far, each max(0, r + p . w)."""
     r = F.lit(float(start))
@@ -127,37 +126,43 @@ def fit(weighted: DataFrame, domains: list[str], targets: dict[str, float], tota
     return {"start": start, "directions": directions, "wanted": wanted, "reached": reached}
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, total: float | None = None) -> DataFrame:
-    """Every row of ``docs`` with _n, _p, _domains, _rate and _copies (whole, expected value _rate)."""
-    model = learn(labelled)
+def mix(feats: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, total: float | None = None):
+    """Fit rates and return a function that gives rows with doc_id, _n and _c their _p, _domain, _rate and _copies.
+
+    feats: doc_id, domain (known for labelled rows), _n, _c; labels: doc_id of the labelled rows.
+    """
+    model = learn(feats.join(labels.select("doc_id").distinct(), "doc_id", "left_semi"))
     if model is None:
-        none = docs.withColumn("_n", _words(F.coalesce(F.col("text"), F.lit(""))))
-        return none.withColumns({"_p": F.array().cast("array<double>"), "_domains": F.array().cast("array<string>"), "_rate": F.lit(1.0), "_copies": F.lit(1)})
-    weighted = with_posteriors(docs, model)
-    found = fit(checkpointed(weighted.select("_n", "_p")), model["domains"], TARGETS if targets is None else targets, total)
-    r = F.when(F.col("_n") > 0, rate(found["directions"], found["start"], F.col("_p"))).otherwise(F.lit(found["start"]))
-    u = F.pmod(F.xxhash64(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 20)) / float(1 << 20)
-    out = weighted.withColumn("_domains", F.array(*[F.lit(x) for x in model["domains"]])).withColumn("_rate", r)
-    # a rate just below a whole number counts as that number, so "cover" drops nothing
-    whole = F.floor(F.col("_rate") + 1e-3)
-    return out.withColumn("_copies", (whole + (u < F.col("_rate") - whole).cast("int")).cast("int"))
+        one = {"_p": F.array().cast("array<double>"), "_domain": F.lit(None).cast("string"), "_rate": F.lit(1.0), "_copies": F.lit(1)}
+        return lambda rows: rows.withColumns(one)
+    found = fit(feats.select("_n", posterior(model, F.col("_c")).alias("_p")), model["domains"], TARGETS if targets is None else targets, total)
+    names = F.array(*[F.lit(x) for x in model["domains"]])
+
+    def apply(rows: DataFrame) -> DataFrame:
+        u = F.pmod(F.xxhash64(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 20)) / float(1 << 20)
+        r = F.when(F.col("_n") > 0, rate(found["directions"], found["start"], F.col("_p"))).otherwise(F.lit(found["start"]))
+        out = rows.withColumn("_p", posterior(model, F.col("_c"))).withColumn("_rate", r)
+        out = out.withColumn("_domain", F.get(names, F.array_position("_p", F.array_max("_p")).cast("int") - 1))
+        # a rate just below a whole number counts as that number, so "cover" drops nothing
+        whole = F.floor(F.col("_rate") + 1e-3)
+        return out.withColumn("_copies", (whole + (u < F.col("_rate") - whole).cast("int")).cast("int"))
+
+    return apply
 
 
-def labelled_table(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(text, domain) of the documents in ``labels``."""
-    marked = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
-    return docs.select("doc_id", "text", F.col("lang").alias("domain")).join(marked, "doc_id", "left_semi").select("text", "domain")
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").where("quality = 1")
 
 
 def op5_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    mixed = mix(docs.select("doc_id", "text", "source"), labelled_table(spark, docs, sf_dir))
-    best = F.get("_domains", F.array_position("_p", F.array_max("_p")).cast("int") - 1)
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("lang", "domain")
+    feats = checkpointed(features(docs, ["doc_id", "domain", "source"]))
+    mixed = mix(feats, _labels(spark, sf_dir))(feats)
     return mixed.select(
         "doc_id",
         "source",
         F.col("_n").alias("n_words"),
-        best.alias("domain"),
+        F.col("_domain").alias("domain"),
         F.round(F.array_max("_p"), 6).alias("domain_probability"),
         F.round("_rate", 6).alias("rate"),
         F.col("_copies").alias("copies"),
@@ -166,9 +171,11 @@ def op5_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every row of ``docs`` as often as its copies say."""
-    mixed = mix(docs, labelled_table(spark, docs, sf_dir))
-    rows = mixed.where("_copies > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    feats = checkpointed(features(docs.withColumnRenamed("lang", "domain"), ["doc_id", "domain"]))
+    apply = mix(feats, _labels(spark, sf_dir))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id"), F.col("text"))
+    mixed = apply(features(rows, ["_row", "doc_id"])).where("_copies > 0")
+    return mixed.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
 assert math.isclose(sum(TARGETS.values()), 1.0)
