@@ -165,15 +165,18 @@ def fit(bags: list[np.ndarray], y: np.ndarray, share: float) -> dict:
     return p | {"mean": mean, "spread": spread}
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> dict:
-    """labelled: (doc_id, text, quality)."""
-    counts = {r["quality"]: r["count"] for r in labelled.where("quality in (0, 1)").groupBy("quality").count().collect()}
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
+    """docs: (doc_id, text); labels: (doc_id, quality). Only the texts of drawn labels are read out."""
+    labels = labels.where("quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    counts = {r["quality"]: r["count"] for r in labels.groupBy("quality").count().collect()}
     total = sum(counts.values())
     if len(counts) < 2:
         return {"share": counts.get(1, 0) / total if total else 0.5}
     share = F.when(F.col("quality") == 1, min(1.0, sample / counts[1])).otherwise(min(1.0, sample / counts[0]))
-    drawn = labelled.where("quality in (0, 1)").where(F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id").cast("string")), F.lit(1_000_000)) < share * 1_000_000)
-    rows = drawn.select(F.col("quality").cast("int"), "text").mapInArrow(_bags, "y int, x binary").collect()
+    drawn = labels.where(F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id").cast("string")), F.lit(1_000_000)) < share * 1_000_000)
+    # 2 * sample rows are expected and 4 * sample the bound, so the labels can be broadcast
+    drawn = F.broadcast(drawn.limit(4 * sample))
+    rows = docs.join(drawn, "doc_id").select("quality", "text").mapInArrow(_bags, "y int, x binary").collect()
     rows = sorted((r["y"], bytes(r["x"])) for r in rows)
     y = np.array([r[0] for r in rows], dtype=float)
     if len(set(y.tolist())) < 2:
@@ -214,6 +217,5 @@ def op10_attention_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     held = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4) == 2
-    # the smaller side of ids is drawn first, so texts meet only drawn labels
-    model = train(docs.where(~held).join(labels, "doc_id"))
+    model = train(docs, labels.where(~held))
     return scored(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
