@@ -61,7 +61,7 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
 def learn(labelled: DataFrame) -> dict | None:
     """Naive Bayes of (domain, _c) rows, or None without any."""
     sums = labelled.where("domain is not null")
-    rows = sums.groupBy("domain").agg(F.count("*").alias("n"), *[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(len(GROUPS) + 1)])
+    rows = sums.groupBy("domain").agg(F.count("*").alias("n"), *[F.sum(F.col("_c")[i]).alias(f"c{i}") for i in range(len(GROUPS) + 1)])
     rows = sorted(rows.limit(MAX_DOMAINS + 1).collect(), key=lambda r: r["domain"])
     if len(rows) > MAX_DOMAINS:
         raise ValueError(f"more than {MAX_DOMAINS} domains")
