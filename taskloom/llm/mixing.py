@@ -37,14 +37,13 @@ MAX_DOMAINS, ITERATIONS, TOLERANCE = 64, 12, 1e-7
 TEMPER, SEED = 0.2, 17
 
 
-def _counts(text: Column) -> Column:
-    """Occurrences of each group, and of all other characters."""
-    low = F.lower(text)
-    hits = [((F.octet_length(low) - F.octet_length(F.replace(low, F.lit(g), F.lit("")))) / len(g.encode())).cast("long") for g in GROUPS]
-    rest = F.length(low).cast("long")
+def _counts(low: Column) -> Column:
+    """Occurrences of each group in lower-cased text, and of all other characters."""
+    hits = [F.floor((F.octet_length(low) - F.octet_length(F.replace(low, F.lit(g), F.lit("")))) / len(g.encode())).cast("int") for g in GROUPS]
+    rest = F.length(low)
     for h, g in zip(hits, GROUPS, strict=True):
         rest = rest - h * len(g)
-    return F.transform(F.array(*hits, F.greatest(rest, F.lit(0).cast("long"))), lambda x: x.cast("int"))
+    return F.array(*hits, F.greatest(rest, F.lit(0)))
 
 
 def _words(text: Column) -> Column:
@@ -55,7 +54,10 @@ def _words(text: Column) -> Column:
 def features(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` of every row with ``_n`` (words) and ``_c`` (counts); narrow, so what follows needs no texts."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(*[F.col(f"`{c}`") for c in keep], _words(text).alias("_n"), _counts(text).alias("_c"))
+    # always true; keeps Catalyst from lowering the text once for every group
+    low = F.when(F.rand(0) >= 0, F.lower(text))
+    lowered = docs.select(*[F.col(f"`{c}`") for c in keep], _words(text).alias("_n"), low.alias("_low"))
+    return lowered.select(*[F.col(f"`{c}`") for c in keep], "_n", _counts(F.col("_low")).alias("_c"))
 
 
 def learn(labelled: DataFrame) -> dict | None:
