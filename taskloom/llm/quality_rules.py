@@ -100,7 +100,10 @@ def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size(F.filter("_w", lambda x: F.lower(F.rtrim(x, F.lit(",.;:!?"))).isin(stop))).cast("long").alias("n_stop_words"),
         _repeat_words(F.col("_h")).cast("long").alias("n_repeat_words"),
     )
-    return step.withColumn("_q", q).drop("_w", "_h", "_l")
+    # always true; a seeded expression that Catalyst won't copy into filters above,
+    # where each rule would count everything anew
+    once = F.when(F.rand(0) >= 0, q)
+    return step.withColumn("_q", once).drop("_w", "_h", "_l")
 
 
 def quality_rules(docs: DataFrame, text: str = "text", thresholds=None) -> DataFrame:
