@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from taskloom.plans.registry import ENTRIES
+from functools import partial
+
+from taskloom.operators import relational
+from taskloom.plans.registry import ENTRIES, register
+from taskloom.sources import fixtures
+
+
+def _run(sql: str, spark, sf_dir: str):
+    return fixtures.run(spark, sf_dir, sql)
+
+
+for _name, _sql in {**relational.ALL, **relational.RECURSIVE}.items():
+    register(_name, partial(_run, _sql), fixtures.expand(_sql))
 
 
 def queries() -> dict:
