@@ -22,6 +22,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def once(value: Column) -> Column:
+    """``value`` as it is, but not copied by Catalyst into the expressions and filters that use it."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)  # always true
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else. Pure ASCII texts take the fast built-in."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskloom.llm.common import BLANKS, checkpointed, table
+from taskloom.llm.common import BLANKS, checkpointed, once, table
 
 TARGETS = {"en": 0.50, "de": 0.20, "fr": 0.18, "es": 0.12}
 # fixed values: letter groups whose frequencies tell languages apart
@@ -54,10 +54,9 @@ def _words(text: Column) -> Column:
 def features(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` of every row with ``_n`` (words) and ``_c`` (counts); narrow, so what follows needs no texts."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    # always true; keeps Catalyst from lowering the text once for every group
-    low = F.when(F.monotonically_increasing_id() >= 0, F.lower(text))
+    low = once(F.lower(text))
     lowered = docs.select(*[F.col(f"`{c}`") for c in keep], _words(text).alias("_n"), low.alias("_low"))
-    return lowered.select(*[F.col(f"`{c}`") for c in keep], "_n", _counts(F.col("_low")).alias("_c"))
+    return lowered.select(*[F.col(f"`{c}`") for c in keep], "_n", once(_counts(F.col("_low"))).alias("_c"))
 
 
 def learn(labelled: DataFrame) -> dict | None:
@@ -144,11 +143,11 @@ def mix(feats: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     def apply(rows: DataFrame) -> DataFrame:
         u = F.pmod(F.xxhash64(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 20)) / float(1 << 20)
         r = F.when(F.col("_n") > 0, rate(found["directions"], found["start"], F.col("_p"))).otherwise(F.lit(found["start"]))
-        out = rows.withColumn("_p", posterior(model, F.col("_c"))).withColumn("_rate", r)
+        out = rows.withColumn("_p", once(posterior(model, F.col("_c")))).withColumn("_rate", once(r))
         out = out.withColumn("_domain", F.get(names, F.array_position("_p", F.array_max("_p")).cast("int") - 1))
         # a rate just below a whole number counts as that number, so "cover" drops nothing
         whole = F.floor(F.col("_rate") + 1e-3)
-        return out.withColumn("_copies", (whole + (u < F.col("_rate") - whole).cast("int")).cast("int"))
+        return out.withColumn("_copies", once((whole + (u < F.col("_rate") - whole).cast("int")).cast("int")))
 
     return apply
 
