@@ -16,34 +16,57 @@ document. Rows without a doc_id are left out. No rows, no result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskloom.llm.common import alnum_words, checkpointed, table
+from taskloom.llm.common import alnum_words, checkpointed, let, table
 
 MIN_WORDS = 5
+#: Lines walked at once: offsets are summed within a block and then over blocks, so a text of many lines costs little more than its length.
+BLOCK = 512
 LINE = "array<struct<start:int,stop:int,line:string>>"
+HEAD = "array<struct<start:int,lines:array<string>>>"
 
 
-def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, start, stop, n_words, digest) of every unit of ``docs``."""
+def _blocks(lines: Column) -> Column:
+    """Array of (start, lines): ``lines`` in pieces of BLOCK with the offset of each."""
+
+    def step(acc, piece):
+        size = F.aggregate(piece, F.lit(0), lambda n, line: n + F.length(line) + 1)
+        one = F.struct(acc["at"].alias("start"), piece.alias("lines"))
+        return F.struct((acc["at"] + size).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+    def cut(every):
+        last = F.ceil(F.size(every) / BLOCK).cast("int") - 1
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(every, k * BLOCK + 1, BLOCK))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(HEAD).alias("out"))
+    return F.aggregate(let(lines, cut), zero, step, lambda acc: acc["out"])
+
+
+def _walk(start: Column, lines: Column) -> Column:
+    """Array of (start, stop, line) of the lines of one block."""
 
     def step(acc, line):
         stop = acc["at"] + F.length(line)
         one = F.struct(acc["at"].alias("start"), stop.alias("stop"), line.alias("line"))
         return F.struct((stop + 1).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(LINE).alias("out"))
-    lines = F.aggregate(F.split("text", "\n", -1), zero, step, lambda acc: acc["out"])
-    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.explode(lines).alias("u"))
-    words = rows.select("doc_id", "u.start", "u.stop", alnum_words(F.col("u.line")).alias("_w"))
+    zero = F.struct(start.alias("at"), F.array().cast(LINE).alias("out"))
+    return F.aggregate(lines, zero, step, lambda acc: acc["out"])
+
+
+def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, line, start, stop, n_words, digest) of every unit of ``docs``; lines count from 0."""
+    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(_blocks(F.split("text", "\n", -1))).alias("_k", "_b"))
+    rows = rows.select("doc_id", "_k", F.posexplode(_walk(F.col("_b.start"), F.col("_b.lines"))).alias("_i", "u"))
+    words = rows.select("doc_id", (F.col("_k") * BLOCK + F.col("_i")).alias("line"), "u.start", "u.stop", alnum_words(F.col("u.line")).alias("_w"))
     return words.where(F.size("_w") >= min_words).select(
-        "doc_id", "start", "stop", F.size("_w").alias("n_words"), F.unhex(F.md5(F.array_join("_w", " "))).alias("digest")
+        "doc_id", "line", "start", "stop", F.size("_w").alias("n_words"), F.unhex(F.md5(F.array_join("_w", " "))).alias("digest")
     )
 
 
-def removed(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Every occurrence that goes: (doc_id, start, stop, n_words, kept_doc_id, kept_start)."""
+def _repeats(docs: DataFrame, min_words: int) -> DataFrame:
     all_units = checkpointed(units(docs, min_words))
     first = (
         all_units.groupBy("digest")
@@ -51,34 +74,38 @@ def removed(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .where("first <> last")
         .select("digest", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"))
     )
-    out = all_units.join(first, "digest").where("doc_id <> kept_doc_id or start <> kept_start")
-    return out.select("doc_id", "start", "stop", "n_words", "kept_doc_id", "kept_start")
+    return all_units.join(first, "digest").where("doc_id <> kept_doc_id or start <> kept_start")
+
+
+def removed(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Every occurrence that goes: (doc_id, start, stop, n_words, kept_doc_id, kept_start)."""
+    return _repeats(docs, min_words).select("doc_id", "start", "stop", "n_words", "kept_doc_id", "kept_start")
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the removed lines cut out of ``text`` and their (start, stop) in ``removed``."""
-    gone = removed(docs, min_words).select("doc_id", F.struct("start", "stop").alias("s")).distinct()
-    per_doc = gone.groupBy("doc_id").agg(F.sort_array(F.collect_list("s")).alias("_gone"))
-    text = F.col("text")
-
-    def step(acc, s):
-        part = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct((s["stop"] + 1).alias("at"), F.concat(acc["out"], part).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    cut = F.aggregate("_gone", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    named = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    joined = docs.join(per_doc.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
-    return joined.select(
-        *named,
-        F.when(F.col("_gone").isNull(), text).otherwise(cut).alias("text"),
-        F.coalesce("_gone", F.array().cast("array<struct<start:int,stop:int>>")).alias("removed"),
+    """``docs`` without the removed lines in ``text``; a last column ``removed`` has their (start, stop) in the original.
+
+    A column of that name in ``docs`` is replaced.
+    """
+    gone = _repeats(docs.select("doc_id", "text"), min_words).select("doc_id", F.struct("start", "stop", "line").alias("s")).distinct()
+    gone = gone.groupBy("doc_id").agg(F.sort_array(F.collect_list("s")).alias("_gone"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id").join(gone, "doc_id", "left")
+
+    def rest(lines):
+        # by position and through a hash set, so in time linear in the lines
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone.line"))
+        return F.array_join(F.transform(stay, lambda i: lines[i]), "\n")
+
+    text = F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(let(F.split("_row.text", "\n", -1), rest))
+    offsets = F.transform("_gone", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
+    return rows.select(
+        *[text.alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns if c != "removed"],
+        F.coalesce(offsets, F.array().cast("array<struct<start:int,stop:int>>")).alias("removed"),
     )
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gone = removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return gone.select("doc_id", "start", "stop", "n_words", "kept_doc_id", "kept_start")
+    return removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 ORACLE = r"""
