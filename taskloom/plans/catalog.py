@@ -4,17 +4,41 @@ from __future__ import annotations
 
 from functools import partial
 
-from taskloom.operators import relational
+from pyspark.sql import functions as F
+
+from taskloom.functions import redaction
+from taskloom.operators import extended, relational
 from taskloom.plans.registry import ENTRIES, register
 from taskloom.sources import fixtures
+from taskloom.streaming import events
 
 
 def _run(sql: str, spark, sf_dir: str):
     return fixtures.run(spark, sf_dir, sql)
 
 
-for _name, _sql in {**relational.ALL, **relational.RECURSIVE}.items():
-    register(_name, partial(_run, _sql), fixtures.expand(_sql))
+for _name, _sql in {**relational.ALL, **relational.RECURSIVE, **extended.ALL}.items():
+    _ours, _theirs = (_sql, _sql) if isinstance(_sql, str) else _sql
+    register(_name, partial(_run, _ours), fixtures.expand(_theirs))
+
+
+def _payloads(spark, sf_dir: str):
+    return fixtures.run(spark, sf_dir, "select id, payload from f_signals")
+
+
+def _minutes(spark, sf_dir: str):
+    return events.minute_counters(fixtures.view(spark, sf_dir, "f_events"))
+
+
+def _queue_events(spark, sf_dir: str):
+    return events.in_queues(fixtures.view(spark, sf_dir, "f_events"), ["q1", "q3"]).select("event_id", "queue", "type")
+
+
+# callbacks per match can't be stated in SQL; tests use plain Python
+register("fn_redact_secrets", lambda spark, sf_dir: _payloads(spark, sf_dir).select("id", redaction.redact(F.col("payload")).alias("redacted")))
+register("fn_sanitize_error", lambda spark, sf_dir: _payloads(spark, sf_dir).select("id", redaction.sanitize(F.col("payload")).alias("error")))
+register("str_tumbling_minute", _minutes, fixtures.expand("select queue, bucket_ts, completed, failed, retried from f_job_stats"))
+register("str_filter_out", _queue_events, fixtures.expand("select event_id, queue, type from f_events where queue in ('q1', 'q3')"))
 
 
 def queries() -> dict:
