@@ -7,8 +7,9 @@ by (doc_id, start) stays, all others go; each removed occurrence keeps its
 offsets in the original text (code points, end exclusive) and names the kept one.
 
 Digests are counted with map-side aggregation, so a line that a third of all
-documents hold is one row a task; only digests that repeat are joined back, and
-a hot digest there is split by adaptive skew handling.
+documents hold is one row a task; only digests that repeat are joined back. A
+hot digest (of which there are fewer than HOT) comes by broadcast, so its units
+stay where they are.
 
 Null and empty texts have no units. Repeated rows of one doc_id count as one
 document. Rows without a doc_id are left out. No rows, no result.
@@ -24,6 +25,8 @@ from taskloom.llm.common import alnum_words, checkpointed, let, table
 MIN_WORDS = 5
 #: Lines walked at once: offsets are summed within a block and then over blocks, so a text of many lines costs little more than its length.
 BLOCK = 512
+#: A digest of more than one unit in HOT is joined by broadcast, not by a shuffle on it.
+HOT = 500
 LINE = "array<struct<start:int,stop:int,line:string>>"
 HEAD = "array<struct<start:int,lines:array<string>>>"
 
@@ -68,13 +71,18 @@ def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def _repeats(docs: DataFrame, min_words: int) -> DataFrame:
     all_units = checkpointed(units(docs, min_words))
-    first = (
+    counted = (
         all_units.groupBy("digest")
-        .agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last"))
+        .agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last"), F.count("*").alias("n"))
         .where("first <> last")
-        .select("digest", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"))
     )
-    return all_units.join(first, "digest").where("doc_id <> kept_doc_id or start <> kept_start")
+    first = checkpointed(counted.select("digest", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"), "n"))
+    # fewer than HOT digests can hold more than that share of the units
+    hot = F.col("n") > all_units.count() / HOT
+    found = all_units.join(F.broadcast(first.where(hot)), "digest")
+    rest = all_units.join(F.broadcast(first.where(hot).select("digest")), "digest", "left_anti")
+    found = found.unionByName(rest.join(first.where(~hot), "digest"))
+    return found.where("doc_id <> kept_doc_id or start <> kept_start")
 
 
 def removed(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
