@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from taskloom.functions import redaction
-from taskloom.operators import extended, relational
+from taskloom.operators import extended, relational, surface
 from taskloom.plans.registry import ENTRIES, register
 from taskloom.sources import fixtures
 from taskloom.streaming import events
@@ -40,6 +40,9 @@ register("fn_sanitize_error", lambda spark, sf_dir: _payloads(spark, sf_dir).sel
 register("str_tumbling_minute", _minutes, fixtures.expand("select queue, bucket_ts, completed, failed, retried from f_job_stats"))
 register("str_filter_out", _queue_events, fixtures.expand("select event_id, queue, type from f_events where queue in ('q1', 'q3')"))
 
+for _name, (_ours, _theirs) in surface.ALL.items():
+    register(_name, _ours, _theirs)
+
 
 def queries() -> dict:
     return {name: entry.run for name, entry in ENTRIES.items()}
