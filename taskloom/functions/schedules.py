@@ -139,6 +139,16 @@ def seed_last_run(expression: str):
     return cursor
 
 
+def custom(after):
+    """A column function from a Python function of one datetime to the next fire, or None; null stays null."""
+
+    @F.pandas_udf("timestamp_ntz")
+    def each(at: pd.Series) -> pd.Series:
+        return pd.Series([None if x is pd.NaT else after(x.to_pydatetime()) for x in at], dtype="datetime64[us]")
+
+    return each
+
+
 def prose(expression: Column) -> Column:
     """A cron expression in words; expressions without such words come back trimmed."""
     raw = F.btrim(expression, F.lit(" \t\n\r\f\x0b"))

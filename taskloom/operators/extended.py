@@ -89,7 +89,6 @@ TRANSITIONS = {
     "dml_fanout_status": """select f.id, case when f.status = 'pending' and s.done >= f.total_count then 'completed' else f.status end as status from f_fan_outs f
         join (select fan_out_id, count(case when status in ('completed', 'failed', 'cancelled') then 1 end) as done from f_sub_jobs group by fan_out_id) s on s.fan_out_id = f.id""",
     "dml_retry_ui": "select id, 'pending' as status, 0 as attempt, '' as last_error from f_jobs where status in ('failed', 'cancelled') and id not in (select parent_job_id from f_sub_jobs)",
-    "dml_delete_tree": "select id from f_jobs where id <> 3 and (parent_job_id is null or parent_job_id <> 3)",
     "dml_signal_send": "select id, job_id, name from f_signals union all select cast(-1 as bigint) as id, id as job_id, 'go' as name from f_jobs where status = 'waiting'",
 }
 

@@ -287,10 +287,3 @@ STREAM_FORMS = {
 }
 
 ALL = {**SCANS, **FILTERS, **JOINS, **AGGREGATES, **WINDOWS, **SORTS, **SETS, **INVARIANTS, **FUNCTIONS, **TRANSITIONS, **STREAM_FORMS}
-
-#: Tree walks need a recursive term.
-RECURSIVE = {
-    "join_subtree_bfs": "with recursive tree(id, depth) as (select id, 0 as depth from f_jobs where id = 3 union all select j.id, t.depth + 1 from f_jobs j join tree t on j.parent_job_id = t.id) select id, depth from tree",
-    "join_parent_climb": "with recursive up(start_id, id, parent_job_id, hops) as (select id as start_id, id, parent_job_id, 0 as hops from f_jobs where status = 'waiting' union all select u.start_id, j.id, j.parent_job_id, u.hops + 1 from f_jobs j join up u on j.id = u.parent_job_id) select start_id, id as root, hops from up where parent_job_id is null",
-    "dml_cancel_tree": "with recursive tree(id, status) as (select id, status from f_jobs where id = 3 union all select j.id, j.status from f_jobs j join tree t on j.parent_job_id = t.id) select id, 'cancelled' as status from tree where status in ('pending', 'waiting', 'running')",
-}

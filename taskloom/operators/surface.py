@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 
 from pyspark.sql import functions as F
 
 from taskloom.functions import redaction, schedules, texts
-from taskloom.operators import handlers
+from taskloom.operators import handlers, trees
 from taskloom.sources import fixtures
 from taskloom.streaming import state
 
@@ -361,6 +362,65 @@ def _statuses(spark, sf_dir):
 
 # -- the display tree
 
-TREE = 1000
-_DOWN = "with recursive tree as (select id, parent_job_id, 0 as depth from f_jobs where id = 3 union all select c.id, c.parent_job_id, t.depth + 1 from f_jobs c join tree t on c.parent_job_id = t.id where t.depth < 256)"
-_sql("join_workflow_tree", f"{_DOWN}, page as (select id, parent_job_id, depth from tree where depth > 0 order by depth, id limit {TREE + 1}), n as (select count(*) > {TREE} as truncated from page) select p.id, p.parent_job_id, p.depth, n.truncated from (select * from page order by depth, id limit {TREE}) p join n on true")
+_TREE = "with recursive tree(id, parent_job_id, status, depth) as (select id, parent_job_id, status, 0 as depth from f_jobs where id = 3 union all select j.id, j.parent_job_id, j.status, t.depth + 1 from f_jobs j join tree t on j.parent_job_id = t.id)"
+
+
+def _jobs(spark, sf_dir):
+    """Jobs and the root that the tree queries take."""
+    jobs = fixtures.run(spark, sf_dir, "select id, parent_job_id, status from f_jobs")
+    return jobs, fixtures.run(spark, sf_dir, "select id from f_jobs where id = 3")
+
+
+@_query("join_subtree_bfs", f"{_TREE} select id, depth from tree")
+def _subtree(spark, sf_dir):
+    return trees.subtree(*_jobs(spark, sf_dir))
+
+
+@_query("join_workflow_tree", f"{_TREE}, page as (select id, parent_job_id, depth from tree where depth > 0 order by depth, id limit 1000) select id, parent_job_id, depth, (select count(*) > 1001 from tree) as truncated from page")
+def _shown(spark, sf_dir):
+    return trees.shown(*_jobs(spark, sf_dir))
+
+
+@_query(
+    "join_parent_climb",
+    "with recursive up(start_id, id, parent_job_id, hops) as (select id as start_id, id, parent_job_id, 0 as hops from f_jobs where status = 'waiting' union all select u.start_id, j.id, j.parent_job_id, u.hops + 1 from f_jobs j join up u on j.id = u.parent_job_id) select start_id, id as root, hops from up where parent_job_id is null",
+)
+def _climbed(spark, sf_dir):
+    jobs, _ = _jobs(spark, sf_dir)
+    return trees.climb(jobs, jobs.where("status = 'waiting'"))
+
+
+@_query("dml_cancel_tree", f"{_TREE} select id, 'cancelled' as status from tree where status in ('pending', 'waiting', 'running')")
+def _cancelled(spark, sf_dir):
+    jobs, roots = _jobs(spark, sf_dir)
+    live = jobs.where(F.col("status").isin("pending", "waiting", "running"))
+    return live.join(trees.subtree(jobs, roots), "id", "left_semi").select("id", F.lit("cancelled").alias("status"))
+
+
+@_query("dml_delete_tree", f"{_TREE} select id from f_jobs where id not in (select id from tree)")
+def _deleted(spark, sf_dir):
+    jobs, roots = _jobs(spark, sf_dir)
+    return jobs.join(trees.subtree(jobs, roots), "id", "left_anti").select("id")
+
+
+# -- reports
+
+_sql(
+    "snk_prometheus",
+    "select concat('jobs_processed_total{queue=\"', queue, '\",status=\"', status, '\"} ', cast(count(*) as string)) as line from f_jobs where status in ('completed', 'failed') group by queue, status",
+)
+_sql(
+    "snk_enqueue_tx",
+    "select id, type, queue, 'job' as written from f_jobs where status = 'pending' union all select id, type, queue, 'outbox' as written from f_jobs where status = 'pending'",
+)
+_sql(
+    "str_saturation_cooldown",
+    """select queue, window_start, count(case when k > 20 then 1 end) as denied, count(case when k = 21 then 1 end) as checked from (select queue, cast(date_trunc('hour', ts) as timestamp) as window_start,
+        row_number() over (partition by queue, date_trunc('hour', ts) order by ts, event_id) as k from f_events) x group by queue, window_start""",
+)
+
+
+@_query("udf_schedule", "select event_id, ts + interval '90' minute as next_ts from f_events")
+def _custom(spark, sf_dir):
+    after = schedules.custom(lambda at: at + dt.timedelta(minutes=90))
+    return fixtures.view(spark, sf_dir, "f_events").select("event_id", after("ts").alias("next_ts"))

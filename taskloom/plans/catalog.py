@@ -17,7 +17,7 @@ def _run(sql: str, spark, sf_dir: str):
     return fixtures.run(spark, sf_dir, sql)
 
 
-for _name, _sql in {**relational.ALL, **relational.RECURSIVE, **extended.ALL}.items():
+for _name, _sql in {**relational.ALL, **extended.ALL}.items():
     _ours, _theirs = (_sql, _sql) if isinstance(_sql, str) else _sql
     register(_name, partial(_run, _ours), fixtures.expand(_theirs))
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from taskloom.functions import schedules, texts
-from taskloom.operators import handlers
+from taskloom.operators import handlers, trees
 from taskloom.sources import sinks
 from taskloom.streaming import state
 
@@ -183,3 +183,19 @@ def test_hot_cache():
     with pytest.raises(ZeroDivisionError):
         cache.get("b", lambda: 1 / 0)
     assert cache.get("b", load) == 3
+
+
+def test_trees(spark):
+    # a chain of 40, a cycle, a missing parent, a shortcut to a shared child
+    rows = [(k, k - 1 if k else None) for k in range(40)] + [(100, 101), (101, 100), (102, 101), (200, 999)]
+    jobs = spark.createDataFrame(rows, "id long, parent_job_id long")
+    root = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id long")
+    assert {r.id: r.depth for r in trees.subtree(jobs, root(35, 37)).collect()} == {35: 0, 37: 0, 36: 1, 38: 1, 39: 2}
+    assert {r.id: r.depth for r in trees.subtree(jobs, root(100)).collect()} == {100: 0, 101: 1, 102: 2}
+    assert trees.subtree(jobs, root()).count() == 0
+    up = {r.start_id: (r.root, r.hops) for r in trees.climb(jobs, root(0, 1, 39, 100, 102, 200)).collect()}
+    assert up == {0: (0, 0), 1: (0, 1), 39: (0, 39)}
+    assert trees.climb(jobs, root(39), max_hops=38).count() == 0
+    few = trees.shown(jobs, root(0), 5).collect()
+    assert [r.id for r in few] == [1, 2, 3, 4, 5] and all(r.truncated for r in few)
+    assert not any(r.truncated for r in trees.shown(jobs, root(34), 5).collect())
