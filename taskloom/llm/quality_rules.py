@@ -29,7 +29,7 @@ THRESHOLDS: list[tuple[str, str, float]] = [
     ("mean_word_chars", "<=", 20.0),
     ("symbol_ratio", "<=", 0.3),
     ("stop_word_ratio", ">=", 0.01),
-    ("dup_line_ratio", "<=", 0.3),
+    ("dup_char_ratio", "<=", 0.3),
     ("repeat_word_ratio", "<=", 0.5),
 ]
 
@@ -37,7 +37,8 @@ METRICS = {
     "mean_word_chars": "word_chars / greatest(n_words, 1)",
     "symbol_ratio": "n_symbols / greatest(n_words, 1)",
     "stop_word_ratio": "n_stop_words / greatest(n_words, 1)",
-    "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)",
+    # by characters: a short line that stands twice in a text of few lines is a small part of it
+    "dup_char_ratio": "n_dup_chars / greatest(n_line_chars, 1)",
     "repeat_word_ratio": "n_repeat_words / greatest(n_words, 1)",
 }
 
@@ -75,8 +76,9 @@ def _repeat_words(grams: Column) -> Column:
 def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the struct column ``_q`` of all counts.
 
-    n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_stop_words and
-    n_repeat_words. Windows are compared by a 64-bit hash of their three words.
+    n_words, word_chars, n_symbols, n_dup_lines, n_dup_chars (of those lines),
+    n_line_chars (of all lines), n_stop_words and n_repeat_words. Windows are
+    compared by a 64-bit hash of their three words.
     """
     stop = sorted({w for words in STOP_WORDS.values() for w in words.split()})
     body = F.coalesce(F.col(text), F.lit(""))
@@ -91,12 +93,14 @@ def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
         ),
     )
     step = step.withColumn("_l", F.filter(F.split(body, "\n"), lambda x: F.trim(x, F.lit(BLANKS)) != ""))
+    line_chars, once_chars = (F.length(F.array_join(x, "")) for x in (F.col("_l"), F.array_distinct("_l")))
     q = F.struct(
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         (F.size(F.split(body, r"[#*$%&|<>]", -1)) - 1).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.size("_l").cast("long").alias("n_lines"),
+        (line_chars - once_chars).cast("long").alias("n_dup_chars"),
+        line_chars.cast("long").alias("n_line_chars"),
         F.size(F.filter("_w", lambda x: F.lower(F.rtrim(x, F.lit(",.;:!?"))).isin(stop))).cast("long").alias("n_stop_words"),
         _repeat_words(F.col("_h")).cast("long").alias("n_repeat_words"),
     )
@@ -110,7 +114,7 @@ def quality_rules(docs: DataFrame, text: str = "text", thresholds=None) -> DataF
     """Every row of ``docs`` with ``_q`` (counts), ``_kept`` and ``_failed`` (rules)."""
     kept, failed = compile_thresholds(THRESHOLDS if thresholds is None else thresholds)
     measured = metrics(docs, text)
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_stop_words", "n_repeat_words"]
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_dup_chars", "n_line_chars", "n_stop_words", "n_repeat_words"]
     keep = [F.col(f"`{c}`") for c in docs.columns]
     # the counts get names of their own for the rules, apart from clashing columns of docs
     flat = measured.select(F.struct(*keep).alias("_row"), "_q", *[F.col(f"_q.{n}").alias(n) for n in names])

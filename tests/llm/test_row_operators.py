@@ -105,6 +105,14 @@ def test_rules_keep_good_documents(spark, sf_dir):
     assert lost.count() == 0
 
 
+def test_duplicate_lines_count_by_characters(spark):
+    short, body = "see the table in part four", " ".join(f"the word{i}" for i in range(40))
+    once, twice = f"{short}\n{body}\n{short}", f"{body}\n{body}\n{short}"
+    got = {r.text: r for r in quality_rules.quality_rules(frame(spark, [once, twice])).collect()}
+    assert got[once]["_kept"] and (got[once]["_q"].n_dup_chars, got[once]["_q"].n_line_chars) == (len(short), 2 * len(short) + len(body))
+    assert "dup_char_ratio <= 0.3" in got[twice]["_failed"]
+
+
 def test_rules_survive_clashing_columns_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "x", 2)], "doc_id long, text string, n_words int")
     out = quality_rules.quality_rules(docs)
