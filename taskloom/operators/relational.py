@@ -3,6 +3,7 @@
 Every text runs unchanged in meaning on both engines, over the derived job
 dataset; Catalyst plans it. Limits stand only where they are the feature (a
 claim, a page, a top-k). Orders end in a unique key, so results are total.
+A pair is (our text, the oracle's) where the oracle's does less than the whole job.
 """
 
 from __future__ import annotations
@@ -54,7 +55,10 @@ FILTERS = {
         and (locked_by is null or locked_by <> 'w1' or status in ('completed', 'failed', 'cancelled'))
         and (status not in ('completed', 'failed', 'cancelled') or locked_by <> '')""",
     "flt_owned": f"select {J} from f_jobs where locked_by = 'w5' and status = 'running'",
-    "flt_consumed_signals": "select id from f_signals where consumed_at is not null and consumed_at < AS_OF - interval '7' day order by consumed_at, id limit 1000",
+    "flt_consumed_signals": (
+        "select id from f_signals where consumed_at is not null and consumed_at < AS_OF - interval '7' day order by consumed_at, id",
+        "select id from f_signals where consumed_at is not null and consumed_at < AS_OF - interval '7' day order by consumed_at, id limit 1000",
+    ),
     "flt_expired_locks": "select scope_hash, job_id from f_unique_locks where expires_at <= AS_OF",
     "flt_expired_slots": "select slot_name, job_id from f_slots where expires_at < AS_OF and job_id <> -1",
     "flt_dead_letter": "select id, queue, last_error from f_jobs where dead_lettered_at is not null and queue = 'ASIA' and last_error like '%boom 1%'",
@@ -187,7 +191,10 @@ SORTS = {
     "srt_page_bounds": "select cast(ceil(count(*) / 50.0) as bigint) as pages, least(count(*), 50) as last_row from f_jobs",
     "srt_dlq": "select id, queue, dead_lettered_at from f_jobs where dead_lettered_at is not null order by dead_lettered_at desc, id desc limit 50",
     "srt_keyset": f"select {J} from f_jobs where status = 'waiting' and id > 1000 order by id limit 100",
-    "srt_retention": "select id, completed_at from f_jobs where status = 'completed' and completed_at < AS_OF - interval '30' day order by completed_at, id limit 1000",
+    "srt_retention": (
+        "select id, completed_at from f_jobs where status = 'completed' and completed_at < AS_OF - interval '30' day order by completed_at, id",
+        "select id, completed_at from f_jobs where status = 'completed' and completed_at < AS_OF - interval '30' day order by completed_at, id limit 1000",
+    ),
     "srt_stale": "select id from f_jobs where status = 'running' order by coalesce(last_heartbeat_at, started_at, locked_until), id limit 100",
     "srt_top_queues": "select queue, count(case when status = 'pending' then 1 end) as backlog, count(case when status = 'failed' then 1 end) as failed from f_jobs group by queue order by 2 desc, 3 desc, 1 limit 5",
     "srt_workflows": "select parent_job_id, count(case when status = 'failed' then 1 end) as failed from f_jobs where parent_job_id is not null group by parent_job_id order by 2 desc, 1 limit 50",
