@@ -106,9 +106,16 @@ JOINS = {
         select j.id, 'completed' as status from f_jobs j join items i on i.id = j.id and i.worker = j.locked_by where j.status = 'running'""",
     "join_fanout_overlay": f"""with {COUNTS} select f.id, f.status, coalesce(c.n, 0) as live, f.total_count - coalesce(c.n, 0) as missing from f_fan_outs f left join c on c.fan_out_id = f.id""",
     "join_group_children": "select f.parent_job_id, count(s.fan_out_id) as n_children, sum(s.result) as total from f_fan_outs f left join f_sub_jobs s on s.fan_out_id = f.id group by f.parent_job_id",
-    "join_queue_report": """with p as (select queue, count(*) as pending from f_jobs where status = 'pending' group by queue),
+    "join_queue_report": (
+        """with p as (select queue, count(*) as pending from f_jobs where status = 'pending' group by queue),
+        d as (select queue, count(*) as dlq from f_jobs where dead_lettered_at is not null group by queue),
+        o as (select queue, min(created_at) as oldest_pending from f_jobs where status = 'pending' group by queue)
+        select queue, coalesce(pending, 0) as pending, coalesce(dlq, 0) as dlq, oldest_pending, greatest(timestampdiff(SECOND, oldest_pending, AS_OF), 0) as backlog_age_s
+        from p full outer join d using (queue) full outer join o using (queue)""",
+        """with p as (select queue, count(*) as pending from f_jobs where status = 'pending' group by queue),
         r as (select queue, count(*) as running from f_jobs where status = 'running' and id % 3 = 0 group by queue)
         select coalesce(p.queue, r.queue) as queue, coalesce(pending, 0) as pending, coalesce(running, 0) as running from p full outer join r on p.queue = r.queue""",
+    ),
     "join_history_merge": """with a as (select bucket_ts, sum(completed) as n from f_job_stats where queue = 'q1' and completed > 0 group by bucket_ts),
         b as (select bucket_ts, sum(failed) as n from f_job_stats where queue = 'q1' and failed > 0 group by bucket_ts)
         select coalesce(a.bucket_ts, b.bucket_ts) as bucket_ts, cast(coalesce(a.n, 0) as bigint) as completed, cast(coalesce(b.n, 0) as bigint) as failed

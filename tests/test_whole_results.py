@@ -33,3 +33,11 @@ def test_retention_takes_every_row(spark, large_dir, name, qualifies):
     want = {r.id for r in fixtures.run(spark, large_dir, f"select id {qualifies}").collect()}
     got = [r.id for r in catalog.queries()[name](spark, large_dir).collect()]
     assert len(want) > 1000 and len(got) == len(want) and set(got) == want
+
+
+def test_queue_report_joins_three_counts(spark, large_dir):
+    jobs = fixtures.run(spark, large_dir, "select queue, status, created_at, dead_lettered_at from f_jobs").collect()
+    pending, dlq = Counter(r.queue for r in jobs if r.status == "pending"), Counter(r.queue for r in jobs if r.dead_lettered_at is not None)
+    oldest = {q: min(r.created_at for r in jobs if r.queue == q and r.status == "pending") for q in pending}
+    got = {r.queue: (r.pending, r.dlq, r.oldest_pending) for r in catalog.queries()["join_queue_report"](spark, large_dir).collect()}
+    assert sum(dlq.values()) > 1000 and got == {q: (pending[q], dlq[q], oldest.get(q)) for q in pending | dlq}
