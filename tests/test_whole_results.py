@@ -41,3 +41,10 @@ def test_queue_report_joins_three_counts(spark, large_dir):
     oldest = {q: min(r.created_at for r in jobs if r.queue == q and r.status == "pending") for q in pending}
     got = {r.queue: (r.pending, r.dlq, r.oldest_pending) for r in catalog.queries()["join_queue_report"](spark, large_dir).collect()}
     assert sum(dlq.values()) > 1000 and got == {q: (pending[q], dlq[q], oldest.get(q)) for q in pending | dlq}
+
+
+def test_bounces_count_a_queue_whole(spark, large_dir):
+    jobs, states = (fixtures.run(spark, large_dir, x).collect() for x in ("select queue from f_jobs where status = 'pending'", "select queue, paused from f_queue_states"))
+    pending, paused = Counter(r.queue for r in jobs), {r.queue for r in states if r.paused}
+    want = {"paused": sum(n for q, n in pending.items() if q in paused), "queue_cap": sum(max(n - 50, 0) for q, n in pending.items() if q not in paused)}
+    assert {r.reason: r.n for r in catalog.queries()["agg_bounce_counts"](spark, large_dir).collect()} == want
