@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: bounds of the walks
-MAX_DEPTH, MAX_HOPS, MAX_SHOWN = 256, 100, 1000
+MAX_HOPS, MAX_SHOWN = 100, 1000
+# levels after which the rows seen so far are cut off from their plan
+LEVELS_A_PLAN = 32
 
 
 def checkpointed(rows: DataFrame) -> DataFrame:
@@ -23,20 +25,27 @@ def checkpointed(rows: DataFrame) -> DataFrame:
     return rows.checkpoint(eager=True)
 
 
-def subtree(jobs: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(id, depth) of ``roots`` and all jobs below them, each at its least depth; cycles end where they close."""
+def subtree(jobs: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(id, depth) of ``roots`` and all jobs below them, each at its least depth; cycles end where they close.
+
+    Goes as deep as the tree; over ``max_depth``, if given, it raises rather than leave jobs out.
+    """
     links = jobs.select(F.col("id"), F.col("parent_job_id").alias("_up")).where(F.col("_up").isNotNull())
     # exploded, as a checkpoint keeps its plan's constraints under stale names, on which the union fails
-    bare = lambda rows: rows.select(F.explode(F.array("id")).alias("id"))
-    frontier = checkpointed(bare(roots).distinct())
-    seen = frontier.withColumn("depth", F.lit(0))
-    for depth in range(1, max_depth + 1):
+    bare = lambda rows: rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("_r")).select("_r.*")
+    frontier = checkpointed(bare(roots.select("id").distinct()))
+    seen, depth = frontier.withColumn("depth", F.lit(0)), 0
+    while True:
+        depth += 1
         below = links.join(frontier.select(F.col("id").alias("_up")), "_up").select("id").distinct()
         frontier = checkpointed(bare(below.join(seen, "id", "left_anti")))
         if frontier.isEmpty():
-            break
+            return seen
+        if max_depth is not None and depth > max_depth:
+            raise ValueError(f"jobs lie more than {max_depth} levels below the roots")
         seen = seen.unionByName(frontier.withColumn("depth", F.lit(depth)))
-    return seen
+        if depth % LEVELS_A_PLAN == 0:
+            seen = checkpointed(bare(seen))
 
 
 def shown(jobs: DataFrame, roots: DataFrame, limit: int = MAX_SHOWN) -> DataFrame:

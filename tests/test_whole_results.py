@@ -48,3 +48,13 @@ def test_bounces_count_a_queue_whole(spark, large_dir):
     pending, paused = Counter(r.queue for r in jobs), {r.queue for r in states if r.paused}
     want = {"paused": sum(n for q, n in pending.items() if q in paused), "queue_cap": sum(max(n - 50, 0) for q, n in pending.items() if q not in paused)}
     assert {r.reason: r.n for r in catalog.queries()["agg_bounce_counts"](spark, large_dir).collect()} == want
+
+
+def test_a_tree_is_walked_whole_or_not_at_all(spark, monkeypatch):
+    monkeypatch.setattr(trees, "LEVELS_A_PLAN", 2, raising=False)
+    jobs = spark.createDataFrame([(k, k - 1 if k else None) for k in range(8)], "id long, parent_job_id long")
+    root = spark.createDataFrame([(0,)], "id long")
+    assert {r.id: r.depth for r in trees.subtree(jobs, root).collect()} == {k: k for k in range(8)}
+    assert trees.subtree(jobs, root, 7).count() == 8
+    with pytest.raises(ValueError, match="3 levels"):
+        trees.subtree(jobs, root, 3)
