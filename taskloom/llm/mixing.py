@@ -153,7 +153,7 @@ def mix(feats: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "labels").where("quality = 1")
+    return table(spark, sf_dir, "labels")
 
 
 def op5_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,6 +167,15 @@ def test_mixing_without_labels_or_rows(spark):
     assert mixing.mix(feats, some)(feats).count() == 4
 
 
+def test_mixing_learns_from_every_labelled_row(spark, tmp_path):
+    en, de = "the weather with thy wooden wheel why", "schön für die einen zwei kleinen schüler"
+    docs = [(k, en if k % 2 else de, "en" if k % 2 else "de", "s", 40) for k in range(8)]
+    spark.createDataFrame(docs, SHAPE).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (0, 0, 0), (2, None, None)], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r.domain for r in mixing.op5_soft_membership_mixing(spark, str(tmp_path)).collect()}
+    assert got == {doc: lang for doc, _, lang, _, _ in docs}
+
+
 def test_language_held_out(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = language_id.op4_hierarchical_language_id(spark, sf_dir).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
