@@ -24,7 +24,6 @@ STOP_WORDS = {
 #: metric, comparison, bound; a document is kept if all hold.
 THRESHOLDS: list[tuple[str, str, float]] = [
     ("n_words", ">=", 50),
-    ("n_words", "<=", 1_000_000),
     ("mean_word_chars", ">=", 2.0),
     ("mean_word_chars", "<=", 20.0),
     ("symbol_ratio", "<=", 0.3),

@@ -113,6 +113,13 @@ def test_duplicate_lines_count_by_characters(spark):
     assert "dup_char_ratio <= 0.3" in got[twice]["_failed"]
 
 
+def test_rules_keep_texts_of_any_length(spark):
+    counts = {"n_words": 2_000_000, "word_chars": 10_000_000, "n_symbols": 0, "n_dup_chars": 0, "n_line_chars": 12_000_000, "n_stop_words": 200_000, "n_repeat_words": 0}
+    kept, failed = quality_rules.compile_thresholds(quality_rules.THRESHOLDS)
+    row = spark.createDataFrame([tuple(counts.values())], ", ".join(f"{n} long" for n in counts)).select(kept.alias("kept"), failed.alias("failed")).first()
+    assert row.kept and row.failed == []
+
+
 def test_rules_survive_clashing_columns_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "x", 2)], "doc_id long, text string, n_words int")
     out = quality_rules.quality_rules(docs)
