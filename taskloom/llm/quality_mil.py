@@ -7,8 +7,8 @@ logistic unit scores the weighted sum. All weights are learned together.
 
 Learned from SAMPLE labelled rows for each class at most, chosen by a seeded
 hash of the id (a bounded sample; the bound is the parameter). Executors turn
-texts into passage features, at most TRAIN_PASSAGES evenly spaced ones for a
-training bag; the driver gets those, never texts. Scoring has no such bound.
+texts into passage features, all of them for a training bag too; the driver
+gets those (260 bytes a passage), never texts.
 
 A null or blank text has score 0. Without labelled rows of both classes every
 other text has the share of label 1 (0.5 without any). Repeated rows are scored
@@ -31,7 +31,7 @@ from taskloom.llm.common import table
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PASSAGE, PIECE = 400, 1 << 20
-SAMPLE, TRAIN_PASSAGES = 2000, 32
+SAMPLE = 2000
 HASHED, HIDDEN, GATE = 48, 24, 12
 EPOCHS, BATCH, STEP, DECAY, SEED = 40, 64, 4e-3, 1e-4, 3
 CUT = 0.7
@@ -105,7 +105,7 @@ def _bags(batches):
             x = encode(text)
             if len(x):
                 ys.append(y)
-                xs.append(x[np.unique(np.linspace(0, len(x) - 1, TRAIN_PASSAGES).astype(int))].tobytes())
+                xs.append(x.tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(xs, pa.binary())], ["y", "x"])
 
 

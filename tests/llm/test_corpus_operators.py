@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,6 +200,13 @@ def test_quality_held_out(spark, sf_dir):
     assert sum(r.predicted == r.quality for r in rows) >= 0.9 * len(rows)
 
 
+def test_quality_training_bags_have_every_passage():
+    text = "some words " * 4_000
+    batch = pa.RecordBatch.from_pydict({"y": [1], "text": [text]})
+    (bag,) = (x for b in quality_mil._bags([batch]) for x in b.column(1).to_pylist())
+    assert len(text) == 44_000 and bag == quality_mil.encode(text).tobytes() and len(quality_mil.encode(text)) == 110
+
+
 def test_quality_cases(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "  \n"), (4, "fine words"), (4, "fine words"), (None, "more"), (5, "long text " * 60_000)], "doc_id long, text string")
     for rows, share in (([], 0.5), ([(4, 1)], 1.0), ([(4, 0), (None, None)], 0.0)):
