@@ -5,40 +5,41 @@ Documents are sets of 5-word shingles; two link if the Jaccard similarity is
 doc_id of the connected component), the representative of its exact copies and
 its numbers of links.
 
-1. One pass gives each document a digest of its words (exact copies share it)
-   and HASHES MinHash values. Copies collapse to a representative.
-2. Bands of BAND values make buckets. In a bucket each member is compared with
-   one pivot, incrementally: after every STEP values a pair is dropped once the
-   posterior P(similarity >= 0.8 | matches), under a uniform prior, is below
-   TOLERANCE. Pairs that survive connect clusters. Pairs of a bucket in one
-   cluster need no comparison here, as step 3 takes all pairs of a cluster. The
-   others, where the pivot didn't keep a member, are compared in the same way in
-   blocks of BUCKET_BLOCK members. No bucket is cut.
-3. Clusters are the connected components of surviving pairs. All pairs inside a
-   cluster are verified exactly on whole shingle sets, in blocks of BLOCK by
-   BLOCK members; a block returns link counts and a spanning forest, never its
-   pairs, so large groups stay spread and small.
+1. One pass gives each document a 64-bit hash of its words (exact copies share
+   it) and HASHES MinHash values of 16 bits. Copies collapse to one node.
+2. Bands of BAND values make buckets; of buckets with the same members one
+   stays. Pairs of a bucket are compared incrementally: after every STEP values
+   a pair is dropped once the posterior P(similarity >= 0.8 | matches), under a
+   uniform prior, is below TOLERANCE. Large buckets are dealt out as pairs of
+   blocks. A block pair returns a spanning forest of its surviving pairs, whose
+   connected components are the candidate clusters. No bucket is cut.
+3. In each cluster the pairs are pruned in the same way and the survivors
+   verified exactly on whole shingle sets, again by pairs of blocks, which are
+   bounded in members and in bytes. A block pair returns link counts and a root
+   for each linked member, never its pairs, so large groups stay spread and small.
 
 Banding misses a pair at 0.8 with probability (1 - 0.8^6)^40, about 5e-6.
 
 Null texts and texts without a word link to nothing. Texts of fewer than five
-words are one shingle. Rows that share a doc_id count as one document; rows
-without a doc_id are left out. No rows, no result.
+words are one shingle. Rows are told apart by doc_id and text: equal rows count
+as one document, rows that share only the id are apart (and of one class if
+their least ids are equal). Rows without a doc_id are left out. No rows, no
+result.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import sys
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskloom.llm.common import alnum_words, checkpointed, components, table
+from taskloom.llm.common import Scratch, alnum_words, components, fits, once, table
 
 # workers get this module's functions by value; they needn't have the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -46,9 +47,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SHINGLE, THRESHOLD = 5, 0.8
 HASHES, BAND, STEP = 240, 6, 24
 TOLERANCE = 1e-6
-BUCKET_BLOCK, BLOCK = 512, 128
-#: Ids of clustered documents are broadcast up to this many (8 bytes each), and shuffled beyond.
-BROADCAST_IDS = 500_000
+#: Members of a block of a bucket; members of a block of a cluster, and bytes of their shingle sets.
+BUCKET_BLOCK, BLOCK, BLOCK_BYTES = 1024, 512, 4 << 20
+#: Buckets (16 bytes each) and clustered documents (40 bytes each) are broadcast up to this many, and shuffled beyond.
+BROADCAST_ROWS = 500_000
 
 _RNG = np.random.default_rng(11)
 _A = (_RNG.integers(0, 2**32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
@@ -93,93 +95,65 @@ def minhash(grams: np.ndarray) -> np.ndarray:
 
 
 def _each(batch: pa.RecordBatch):
-    """(id, hashed words) of the rows of a batch."""
-    lists = batch.column(1)
+    """The hashed words of each row of a batch, whose last column they are."""
+    lists = batch.column(batch.num_columns - 1)
     values, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-    for k, doc in enumerate(batch.column(0).to_pylist()):
-        yield doc, values[at[k] : at[k + 1]]
+    for k in range(len(lists)):
+        yield np.ascontiguousarray(values[at[k] : at[k + 1]])
 
 
 def _signed(batches):
     for batch in batches:
-        ids, keys, sigs = [], [], []
-        for doc, words in _each(batch):
-            words = np.ascontiguousarray(words)
-            ids.append(doc)
-            keys.append(hashlib.blake2b(words.tobytes(), digest_size=16).digest())
-            sigs.append(minhash(shingles(words)).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "key", "sig"])
+        sizes, sigs = [], []
+        for words in _each(batch):
+            grams = shingles(words) if len(words) else words
+            sizes.append(len(grams))
+            sigs.append(minhash(grams).astype(np.uint16).tobytes() if len(words) else None)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary())], ["doc_id", "text_hash", "node", "n", "sig"])
 
 
 def _shingled(batches):
     for batch in batches:
-        pairs = [(doc, shingles(np.ascontiguousarray(words)).tobytes()) for doc, words in _each(batch)]
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.binary())], ["id", "grams"])
+        grams, sigs = [], []
+        for words in _each(batch):
+            g = shingles(words)
+            grams.append(g.tobytes())
+            sigs.append(minhash(g).astype(np.uint16).tobytes())
+        names = ["id", "cluster", "nb", "size"]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sigs, pa.binary()), pa.array(grams, pa.binary())], [*names, "sig", "grams"])
 
 
-def _hashed_words(docs: DataFrame) -> DataFrame:
-    rows = docs.where("doc_id is not null and text is not null")
-    words = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.transform(alnum_words(F.col("text")), lambda w: F.xxhash64(w)).alias("w"))
-    return words.where(F.size("w") > 0)
+def _words(text) -> Column:
+    return F.transform(alnum_words(text), lambda w: F.xxhash64(w))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, sig) of documents with a word."""
-    return _hashed_words(docs).mapInArrow(_signed, "doc_id long, key binary, sig binary")
-
-
-def _pruned(batches):
-    """Rows (a, b, sig_a, sig_b) -> those pairs that incremental comparison keeps."""
-    bounds = least_matches()
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, HASHES) for i in (2, 3))
-        live, matches, seen = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64), 0
-        for n, least in bounds:
-            matches = matches + (x[live, seen:n] == y[live, seen:n]).sum(axis=1)
-            live, matches, seen = live[matches >= least], matches[matches >= least], n
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(live)), batch.column(1).take(pa.array(live))], ["a", "b"])
-
-
-def _compare(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) that survive pruning."""
-    both = pairs.join(reps.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(
-        reps.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b"
-    )
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(_pruned, "a long, b long")
-
-
-def candidate_edges(reps: DataFrame) -> DataFrame:
-    """Surviving pairs that connect every cluster of candidates; reps: id, sig."""
-    width = 4 * BAND
-    bands = reps.select(
-        "id",
-        F.explode(F.transform(F.sequence(F.lit(0), F.lit(HASHES // BAND - 1)), lambda k: F.xxhash64(k, F.substring("sig", k * width + 1, F.lit(width))))).alias("bucket"),
-    )
-    full = bands.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
-    members = checkpointed(bands.join(full, "bucket"))
-    pivot = members.groupBy("bucket").agg(F.min("id").alias("pivot"))
-    star = members.join(pivot, "bucket").where("id <> pivot").select("bucket", F.col("id").alias("a"), F.col("pivot").alias("b"))
-    kept = checkpointed(_compare(star.select("a", "b").distinct(), reps))
-
-    # without the pivot, buckets of several clusters that have a member the pivot didn't keep
-    roots = components(kept)
-    marked = star.join(kept.withColumn("near", F.lit(True)), ["a", "b"], "left").select("bucket", F.col("a").alias("id"), F.col("near").isNull().alias("rest"))
-    marked = checkpointed(marked.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
-    mixed = marked.groupBy("bucket").agg(
-        F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("rest").alias("any"), F.ceil(F.count("*") / BUCKET_BLOCK).cast("int").alias("nb")
-    )
-    mixed = mixed.where("lo <> hi and any").select("bucket", "nb")
-    blocks = _block_pairs(marked.join(mixed, "bucket"), "bucket").join(reps.select("id", "sig"), "id")
-    return kept.unionByName(blocks.groupBy("bucket", "i", "j").applyInArrow(_bridges, "a long, b long"))
+    """(doc_id, text_hash, node, n, sig) of rows with a doc_id; node is the hash of the words, n counts shingles; 0 without a word."""
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), once(_words(F.col("text"))).alias("w"))
+    rows = rows.select("doc_id", "text_hash", F.xxhash64("w").alias("node"), "w")
+    return rows.mapInArrow(_signed, "doc_id long, text_hash long, node long, n int, sig binary")
+
+
+def candidate_edges(reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): surviving pairs that connect every cluster of candidates; reps: node, sig."""
+    width = 2 * BAND
+    hashed = F.transform(F.sequence(F.lit(0), F.lit(HASHES // BAND - 1)), lambda k: F.xxhash64(k, F.substring("sig", k * width + 1, F.lit(width))))
+    bands = reps.select("node", F.explode(hashed).alias("bucket"))
+    full = bands.groupBy("bucket").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x")).where("m > 1")
+    # buckets of equal members have equal pairs; 64 bits and the number tell them
+    full = scratch.table(full.groupBy("m", "x").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("m") / BUCKET_BLOCK).cast("int").alias("nb")))
+    if fits(full, BROADCAST_ROWS):
+        members = reps.select(F.col("node").alias("id"), "sig", F.explode(hashed).alias("bucket")).join(F.broadcast(full), "bucket")
+    else:
+        members = bands.join(full, "bucket").join(reps.select("node", "sig"), "node").withColumnRenamed("node", "id")
+    return _block_pairs(members, "bucket").groupBy("bucket", "i", "j").applyInArrow(_bridges, "a long, b long")
 
 
 def _block_pairs(rows: DataFrame, group: str) -> DataFrame:
     """``rows`` (id, nb, ...) dealt to every pair of the nb blocks of their group that they belong to."""
     dealt = rows.withColumn("own", F.pmod(F.xxhash64("id"), "nb").cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     i, j = F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j")
-    rest = [c for c in rows.columns if c not in (group, "nb")]
+    rest = [c for c in rows.columns if c != group]
     return dealt.select(group, i, j, *rest, F.col("own").alias("side"), (F.col("own") != F.col("k")).alias("cross"))
 
 
@@ -191,135 +165,165 @@ def _allowed(table: pa.Table) -> np.ndarray:
     return ~np.eye(len(side), dtype=bool)
 
 
-def _bridges(table: pa.Table) -> pa.Table:
-    """One block pair of a bucket: surviving pairs of different clusters, a spanning forest of them."""
-    ids, root = table.column("id").to_numpy(), table.column("root").to_numpy()
-    rest = table.column("rest").to_numpy(zero_copy_only=False)
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
-    todo = np.triu(_allowed(table), 1) & (rest[:, None] | rest[None, :]) & (root[:, None] != root[None, :])
-    x, y = np.nonzero(todo)
-    matches, seen = np.zeros(len(x), np.int64), 0
-    for n, least in least_matches():
-        for lo in range(0, len(x), 65536):  # bounded memory
-            at = slice(lo, lo + 65536)
-            matches[at] += (sig[x[at], seen:n] == sig[y[at], seen:n]).sum(axis=1)
-        live = matches >= least
-        x, y, matches, seen = x[live], y[live], matches[live], n
-    near = np.zeros((len(ids), len(ids)), bool)
-    near[x, y] = near[y, x] = True
-    edges = _forest(near)
-    return pa.table([pa.array([ids[k] for k, _ in edges], pa.int64()), pa.array([ids[k] for _, k in edges], pa.int64())], ["a", "b"])
-
-
-def _forest(link: np.ndarray) -> list[tuple[int, int]]:
-    """(node, parent) edges of a spanning forest, breadth first; each node is reached once."""
-    todo, out = np.ones(len(link), bool), []
-    for root in range(len(link)):
-        if not todo[root]:
-            continue
-        todo[root], front = False, [root]
-        while front:
-            at = front.pop()
-            new = np.flatnonzero(link[at] & todo)
-            todo[new] = False
-            front += new.tolist()
-            out += [(int(k), at) for k in new]
-    return out
+_BOUNDS = least_matches()
+
 
+def _signature_rows(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
 
-def _intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections of sorted distinct arrays."""
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+
+def _survivors(sig: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs (x, y) of rows of ``sig`` that incremental comparison keeps."""
+    out = []
+    for lo in range(0, len(x), 65536):  # bounded memory
+        a, b = x[lo : lo + 65536], y[lo : lo + 65536]
+        matches, seen = np.zeros(len(a), np.int32), 0
+        for n, least in _BOUNDS:
+            matches += (sig[a, seen:n] == sig[b, seen:n]).sum(axis=1, dtype=np.int32)
+            live = matches >= least
+            a, b, matches, seen = a[live], b[live], matches[live], n
+        out.append((a, b))
+    if not out:
+        return x, y
+    return np.concatenate([p[0] for p in out]), np.concatenate([p[1] for p in out])
+
+
+def _bridges(table: pa.Table) -> pa.Table:
+    """One block pair of a bucket: a spanning forest of the surviving pairs."""
+    ids = table.column("id").to_numpy()
+    root = _roots(len(ids), *_survivors(_signature_rows(table), *np.nonzero(np.triu(_allowed(table), 1))))
+    away = root != np.arange(len(ids))
+    return pa.table([pa.array(ids[away]), pa.array(ids[root[away]])], ["a", "b"])
+
+
+def _roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least index of each node's component in the graph of the pairs (x, y)."""
+    root = np.arange(n)
+    while True:
+        before = root.copy()
+        np.minimum.at(root, x, root[y])
+        np.minimum.at(root, y, root[x])
+        root = root[root]
+        if (before == root).all():
+            return root
+
+
+def _intersections(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sorted distinct arrays x[k] and y[k], by bit rows over the shared values."""
+    out = np.zeros(len(x), np.int64)
+    if not len(x):
+        return out
+    used = np.unique(np.concatenate([x, y]))
+    owner = np.repeat(used, [len(sets[k]) for k in used])
+    _, column, times = np.unique(np.concatenate([sets[k] for k in used]), return_inverse=True, return_counts=True)
     shared = times[column] > 1
     owner, column = owner[shared], column[shared]
-    out = np.zeros((len(sets), len(sets)), np.float32)
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    _, column = np.unique(column, return_inverse=True)
-    total = int(column[-1]) + 1 if len(column) else 0
-    for lo in range(0, total, 8192):
-        a, b = np.searchsorted(column, [lo, lo + 8192])
-        part = np.zeros((len(sets), min(8192, total - lo)), np.float32)
-        part[owner[a:b], column[a:b] - lo] = 1
-        out += part @ part.T
+    column = np.cumsum(np.concatenate(([0], column[1:] != column[:-1]))) if len(column) else column
+    total, width = int(column[-1]) + 1 if len(column) else 0, 16384
+    for lo in range(0, total, width):
+        a, b = np.searchsorted(column, [lo, lo + width])
+        part = np.zeros((len(sets), min(width, -(-(total - lo) // 64) * 64)), bool)
+        part[owner[a:b], column[a:b] - lo] = True
+        bits = np.packbits(part, axis=1).view(np.uint64)
+        for at in range(0, len(x), 4096):  # bounded memory
+            s = slice(at, at + 4096)
+            out[s] += np.bitwise_count(bits[x[s]] & bits[y[s]]).sum(axis=1, dtype=np.int64)
     return out
 
 
 def _verified(table: pa.Table) -> pa.Table:
-    """One block pair: link counts for each member and a spanning forest of its links."""
-    ids = table.column("id").to_numpy()
-    weight = table.column("size").to_numpy()
+    """One block pair: for each member with links their counts and a root, the least linked member here."""
+    _, once = np.unique(table.column("id").to_numpy(), return_index=True)  # repeated rows
+    table = table.take(pa.array(once))
+    ids, weight = table.column("id").to_numpy(), table.column("size").to_numpy()
+    x, y = _survivors(_signature_rows(table), *np.nonzero(np.triu(_allowed(table), 1)))
     sets = [np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()]
-    sizes = np.array([len(s) for s in sets], np.float32)
-    both = _intersections(sets)
-    link = both >= np.float32(THRESHOLD) * (sizes[:, None] + sizes[None, :] - both) - 1e-3
-    link &= _allowed(table)
-    rows = [(int(i), None, int(n), int(d)) for i, n, d in zip(ids, link.sum(axis=1), link @ weight, strict=True) if n]
-    rows += [(int(ids[a]), int(ids[b]), 0, 0) for a, b in _forest(link)]
-    names = ["id", "other", "n_text", "n_docs"]
-    return pa.table([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names)
-
-
-def _fits(df: DataFrame, most: int) -> bool:
-    return df.limit(most + 1).count() <= most
+    sizes = np.array([len(s) for s in sets], np.int64)
+    both = _intersections(sets, x, y)
+    up, down = Fraction(str(THRESHOLD)).as_integer_ratio()  # exact at the threshold itself
+    link = both * down >= up * (sizes[x] + sizes[y] - both)
+    x, y = x[link], y[link]
+    n_text = np.bincount(np.concatenate([x, y]), minlength=len(ids))
+    n_docs = np.bincount(np.concatenate([x, y]), np.concatenate([weight[y], weight[x]]).astype(float), len(ids)).astype(np.int64)
+    root, some = _roots(len(ids), x, y), n_text > 0
+    columns = [ids[some], table.column("nb").to_numpy()[some], ids[root[some]], n_text[some], n_docs[some]]
+    return pa.table([pa.array(c, pa.int32() if k == 1 else pa.int64()) for k, c in enumerate(columns)], ["id", "nb", "root", "n_text", "n_docs"])
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, copy_of, n_links, n_text_links) of all documents with an id.
+    """(doc_id, text_hash, class_id, copy_of, n_links, n_text_links, first) of every document with an id.
 
-    n_links counts linked documents, copies included; n_text_links counts linked
-    texts other than the document's own.
+    class_id and copy_of are the least doc_id of the class and of the exact
+    copies. n_links counts linked documents, copies included; n_text_links
+    counts linked texts other than the document's own. ``first`` marks the one
+    document of its class that comes first by id and hash of the text.
     """
-    signed = checkpointed(signatures(docs))
-    least = signed.groupBy("key").agg(F.min("doc_id").alias("id"), F.countDistinct("doc_id").alias("size"))
-    least = checkpointed(least)
-    sigs = signed.groupBy("key").agg(F.min("sig").alias("sig"))  # equal within a key
-    reps = checkpointed(least.join(sigs, "key").select("id", "size", "sig").dropDuplicates(["id"]))
-
-    clusters = components(candidate_edges(reps.select("id", "sig"))).withColumnRenamed("root", "cluster")
-    sized = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    ids = clusters.select(F.col("id").alias("doc_id"))
-    wanted = F.broadcast(ids) if _fits(ids, BROADCAST_IDS) else ids
-    grams = _hashed_words(docs.join(wanted, "doc_id", "left_semi")).mapInArrow(_shingled, "id long, grams binary")
-    grams = grams.dropDuplicates(["id"])
-    rows = clusters.join(sized, "cluster").join(reps.select("id", "size"), "id").join(grams, "id")
-    placed = _block_pairs(rows, "cluster")
-    checked = placed.groupBy("cluster", "i", "j").applyInArrow(_verified, "id long, other long, n_text long, n_docs long")
-    checked = checkpointed(checked)
-    counts = checked.where("other is null").groupBy("id").agg(F.sum("n_text").alias("n_text"), F.sum("n_docs").alias("n_docs"))
-    roots = components(checked.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-
-    named = least.join(counts, "id", "left").join(roots, "id", "left").select("key", "id", "size", "n_text", "n_docs", "root")
-    linked = signed.select("doc_id", "key").distinct().join(named, "key")
-    linked = linked.groupBy("doc_id").agg(
-        F.min(F.coalesce("root", "id")).alias("class_id"), F.min("id").alias("copy_of"),
-        F.max(F.coalesce("n_docs", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.max(F.coalesce("n_text", F.lit(0))).alias("n_text_links"),
+    scratch = Scratch(docs.sparkSession)
+    signed = scratch.table(signatures(docs))
+    worded = signed.where("n > 0")
+    of_node = worded.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))  # n and sig are equal in a node
+    reps = scratch.table(of_node.select("node", F.col("rep.doc_id").alias("id"), F.col("rep.text_hash").alias("hash"), "n", "sig"))
+    members = worded.select("node", "doc_id", "text_hash").distinct()
+    sizes = members.select("node", "doc_id").distinct().groupBy("node").agg(F.count("*").alias("size"))
+
+    edges = scratch.table(candidate_edges(reps.select("node", "sig"), scratch))
+    clusters = scratch.table(components(edges, scratch))
+    of = clusters.withColumnsRenamed({"id": "node", "root": "cluster"}).join(reps.select("node", F.col("id").alias("doc_id"), "n"), "node")
+    of = scratch.table(of.join(sizes, "node"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.col("n").cast("long")) * 8 / BLOCK_BYTES)).cast("int")
+    wanted = scratch.table(of.join(of.groupBy("cluster").agg(blocks.alias("nb")), "cluster").select("node", "doc_id", "cluster", "nb", "size"))
+    near = F.broadcast(wanted) if fits(wanted, BROADCAST_ROWS) else wanted
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(near, "doc_id").select("node", "cluster", "nb", "size", once(_words(F.col("text"))).alias("w"))
+    texts = texts.where(F.xxhash64("w") == F.col("node"))  # the id's other texts
+    grams = texts.mapInArrow(_shingled, "id long, cluster long, nb int, size long, sig binary, grams binary")
+    checked = _block_pairs(grams, "cluster").groupBy("cluster", "i", "j").applyInArrow(_verified, "id long, nb int, root long, n_text long, n_docs long")
+    checked = scratch.table(checked)
+    scratch.drop(edges, clusters, of)
+
+    # only clusters of several blocks have more than one root for a member
+    linked = checked.groupBy("id").agg(F.sum("n_text").alias("n_text"), F.sum("n_docs").alias("n_docs"), F.min("root").alias("root"))
+    over = checked.where("nb > 1").select(F.col("id").alias("a"), F.col("root").alias("b"))
+    if not over.isEmpty():
+        # a member that is a root everywhere is in the forest by its other edges
+        roots = components(over, scratch)
+        linked = linked.join(roots.withColumnRenamed("root", "far"), "id", "left").withColumn("root", F.coalesce("far", "root")).drop("far")
+    linked = linked.withColumnRenamed("id", "node").join(reps.select("node", "id", "hash"), "node")
+    heads = linked.groupBy("root").agg(F.min(F.struct("id", "hash", "node")).alias("head"))
+    linked = linked.join(heads, "root").select("node", "n_text", "n_docs", "head")
+
+    named = reps.select("node", "id", "hash").join(sizes, "node").join(linked, "node", "left")
+    head = F.coalesce("head", F.struct("id", "hash", "node"))
+    named = named.select("node", "id", "size", "n_text", "n_docs", head.alias("head"))
+    zero = F.lit(0).cast("long")
+    rows = members.join(named, "node").select(
+        "doc_id", "text_hash", F.col("head.id").alias("class_id"), F.col("id").alias("copy_of"),
+        (F.coalesce("n_docs", zero) + F.col("size") - 1).alias("n_links"), F.coalesce("n_text", zero).alias("n_text_links"),
+        ((F.col("doc_id") == F.col("head.id")) & (F.col("text_hash") == F.col("head.hash"))).alias("first"),
     )
-    everyone = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    return everyone.join(linked, "doc_id", "left").select(
-        "doc_id",
-        F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce("copy_of", "doc_id").alias("copy_of"),
-        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
-        F.coalesce("n_text_links", F.lit(0).cast("long")).alias("n_text_links"),
-    )
+    blank = signed.where("n = 0").select("doc_id", "text_hash").distinct()
+    return rows.unionByName(blank.select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), zero.alias("n_links"), zero.alias("n_text_links"), F.lit(True).alias("first")))
 
 
 def op9_bayesian_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_hash", "first")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class the document with the least id stays, once.
+    """Pipeline stage: of each class the first document stays, once.
 
-    Rows without a doc_id can't be told apart and stay.
+    Rows without a doc_id can't be told apart and stay. Columns of any name are
+    kept as they are.
     """
-    drop = jaccard_classes(docs.select("doc_id", "text")).where("class_id <> doc_id").select("doc_id")
-    wanted = checkpointed(drop)
-    wanted = F.broadcast(wanted) if _fits(wanted, BROADCAST_IDS) else wanted
-    kept = docs.join(wanted, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if again.isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    scratch = Scratch(spark)
+    drop = scratch.table(jaccard_classes(docs.select("doc_id", "text")).where("not first").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_d"), F.xxhash64("text").alias("_h"))
+    kept = rows.join(F.broadcast(drop) if fits(drop, BROADCAST_ROWS) else drop, ["_d", "_h"], "left_anti")
+    again = rows.where("_d is not null").groupBy("_d", "_h").agg(F.count("*").alias("n")).where("n > 1").select("_d", "_h")
+    again = scratch.table(again)
+    if not again.isEmpty():
+        # only the repeated rows are dealt out
+        near = F.broadcast(again) if fits(again, BROADCAST_ROWS) else again
+        kept = kept.join(near, ["_d", "_h"], "left_anti").unionByName(kept.join(near, ["_d", "_h"], "left_semi").dropDuplicates(["_d", "_h"]))
+    return kept.select("_row.*")
