@@ -1,133 +1,175 @@
 """Substring deduplication by line hashing.
 
-A unit is a line of MIN_WORDS words or more; shorter lines repeat by chance and
-stay. Units are normalised (A-Z lowered, words joined by one space), digested
-to 128 bits and grouped over the whole corpus. The occurrence that comes first
-by (doc_id, start) stays, all others go; each removed occurrence keeps its
-offsets in the original text (code points, end exclusive) and names the kept one.
-
-Digests are counted with map-side aggregation, so a line that a third of all
-documents hold is one row a task; only digests that repeat are joined back. A
-hot digest (of which there are fewer than HOT) comes by broadcast, so its units
-stay where they are.
-
-Null and empty texts have no units. Repeated rows of one doc_id count as one
-document. Rows without a doc_id are left out. No rows, no result.
+A unit is a sentence of a line: a line is cut after each ``.``, ``!`` or ``?``,
+as passages often stand inside lines, and a line without one is a unit. Units
+are normalised (A-Z lowered, words joined by one space), digested to 128 bits
+and grouped over the whole corpus. Single units repeat by chance; a passage is a
+run of neighbouring repeated units that has MIN_WORDS words or more. Of a
+repeated unit the occurrence that comes first by (doc_id, text key, start) is
+kept, and every other one inside a passage goes. All occurrences inside passages
+are reported with their offsets in the original text (code points, end
+exclusive) and the place of the kept one.
+
+A unit takes the characters up to the next unit's first word, so what goes
+leaves no empty lines. Digests are counted with map-side aggregation, so a line
+that a third of all documents hold is one row a task; only digests that repeat
+are joined back. A hot digest (of which there are fewer than HOT) comes by
+broadcast, so its units stay where they are. Runs are found by windows over the
+repeated units of one text.
+
+Null and empty texts have no units. Rows are told apart by doc_id and text:
+equal rows count as one, rows that share only the id are apart. Rows without a
+doc_id are left out. No rows, no result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+import re
+import sys
+
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from taskloom.llm.common import alnum_words, checkpointed, let, table
+from taskloom.llm.common import Scratch, let, table
+
+# workers get this module's functions by value; they needn't have the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MIN_WORDS = 5
-#: Lines walked at once: offsets are summed within a block and then over blocks, so a text of many lines costs little more than its length.
-BLOCK = 512
+#: Least words of a passage: of one of over 50 words, so many are left in whole sentences when both ends cut one.
+MIN_WORDS = 35
+#: Units in an Arrow batch, so a text of many lines needs little more memory than itself.
+BATCH = 65_536
 #: A digest of more than one unit in HOT is joined by broadcast, not by a shuffle on it.
 HOT = 500
-LINE = "array<struct<start:int,stop:int,line:string>>"
-HEAD = "array<struct<start:int,lines:array<string>>>"
-
-
-def _blocks(lines: Column) -> Column:
-    """Array of (start, lines): ``lines`` in pieces of BLOCK with the offset of each."""
-
-    def step(acc, piece):
-        size = F.aggregate(piece, F.lit(0), lambda n, line: n + F.length(line) + 1)
-        one = F.struct(acc["at"].alias("start"), piece.alias("lines"))
-        return F.struct((acc["at"] + size).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    def cut(every):
-        last = F.ceil(F.size(every) / BLOCK).cast("int") - 1
-        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(every, k * BLOCK + 1, BLOCK))
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(HEAD).alias("out"))
-    return F.aggregate(let(lines, cut), zero, step, lambda acc: acc["out"])
-
-
-def _walk(start: Column, lines: Column) -> Column:
-    """Array of (start, stop, line) of the lines of one block."""
-
-    def step(acc, line):
-        stop = acc["at"] + F.length(line)
-        one = F.struct(acc["at"].alias("start"), stop.alias("stop"), line.alias("line"))
-        return F.struct((stop + 1).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    zero = F.struct(start.alias("at"), F.array().cast(LINE).alias("out"))
-    return F.aggregate(lines, zero, step, lambda acc: acc["out"])
-
-
-def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, line, start, stop, n_words, digest) of every unit of ``docs``; lines count from 0."""
-    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(_blocks(F.split("text", "\n", -1))).alias("_k", "_b"))
-    rows = rows.select("doc_id", "_k", F.posexplode(_walk(F.col("_b.start"), F.col("_b.lines"))).alias("_i", "u"))
-    words = rows.select("doc_id", (F.col("_k") * BLOCK + F.col("_i")).alias("line"), "u.start", "u.stop", alnum_words(F.col("u.line")).alias("_w"))
-    return words.where(F.size("_w") >= min_words).select(
-        "doc_id", "line", "start", "stop", F.size("_w").alias("n_words"), F.unhex(F.md5(F.array_join("_w", " "))).alias("digest")
-    )
-
-
-def _repeats(docs: DataFrame, min_words: int) -> DataFrame:
-    all_units = checkpointed(units(docs, min_words))
-    counted = (
-        all_units.groupBy("digest")
-        .agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last"), F.count("*").alias("n"))
-        .where("first <> last")
-    )
-    first = checkpointed(counted.select("digest", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"), "n"))
+#: A sentence with what follows it up to the next word, or a rest without an end; on UTF-8, whose other bytes are all of words.
+UNIT = re.compile(rb"[^.!?\n]*[.!?\n][\x00-\x2F\x3A-\x60\x7B-\x7F]*|[^.!?\n]+")
+_WORD_BYTES = bytes(c if c > 0x7F or chr(c).isalnum() else 0x20 for c in range(256))
+UNITS = "doc_id long, key long, unit int, start int, stop int, n_words int, digest binary"
+
+
+def text_key(text: Column) -> Column:
+    """60 bits of the text's MD5, to tell rows of one id apart."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def _units_of(text: bytes):
+    """(unit, start, stop, n_words, digest) of the units of a text with a word."""
+    low, at = text.lower(), 0  # of bytes, so only A-Z change
+    plain, ascii_only = low.translate(_WORD_BYTES), low.isascii()
+    for k, m in enumerate(UNIT.finditer(low)):
+        size = m.end() - m.start() if ascii_only else len(m[0].decode())
+        words = plain[m.start() : m.end()].split()
+        if words:
+            yield k, at, at + size, len(words), hashlib.md5(b" ".join(words)).digest()
+        at += size
+
+
+def _units(batches):
+    def batch(rows):
+        columns = list(zip(*rows, strict=True))
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in UNITS.split(", ")])
+
+    for docs in batches:
+        rows = []
+        for doc, text in zip(docs.column(0).to_pylist(), docs.column(1).to_pylist(), strict=True):
+            key = int(hashlib.md5(text).hexdigest()[:15], 16)
+            for unit in _units_of(text):
+                rows.append((doc, key, *unit))
+                if len(rows) == BATCH:
+                    yield batch(rows)
+                    rows = []
+        if rows:
+            yield batch(rows)
+
+
+def units(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, unit, start, stop, n_words, digest) of every unit with a word; units of a text count from 0."""
+    rows = docs.where("doc_id is not null and text is not null")
+    return rows.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(_units, UNITS)
+
+
+def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Every repeated unit inside a passage, the kept ones too.
+
+    (doc_id, key, unit, start, stop, n_words, kept, kept_doc_id, kept_start,
+    passage_start): ``kept`` marks the occurrence that stays, which is at
+    (kept_doc_id, kept_start); passage_start is where the unit's run begins.
+    """
+    scratch = Scratch(docs.sparkSession)
+    every = scratch.table(units(docs))
+    place = F.struct("doc_id", "key", "start")
+    counted = every.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).where("first <> last")
+    first = scratch.table(counted.select("digest", "first", "n"))
     # fewer than HOT digests can hold more than that share of the units
-    hot = F.col("n") > all_units.count() / HOT
-    found = all_units.join(F.broadcast(first.where(hot)), "digest")
-    rest = all_units.join(F.broadcast(first.where(hot).select("digest")), "digest", "left_anti")
+    hot = F.col("n") > every.count() / HOT
+    found = every.join(F.broadcast(first.where(hot)), "digest")
+    rest = every.join(F.broadcast(first.where(hot).select("digest")), "digest", "left_anti")
     found = found.unionByName(rest.join(first.where(~hot), "digest"))
-    return found.where("doc_id <> kept_doc_id or start <> kept_start")
-
-
-def removed(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Every occurrence that goes: (doc_id, start, stop, n_words, kept_doc_id, kept_start)."""
-    return _repeats(docs, min_words).select("doc_id", "start", "stop", "n_words", "kept_doc_id", "kept_start")
+    # one deal by text serves the repeated rows and both windows
+    found = found.drop("digest", "n").repartition("doc_id", "key").dropDuplicates(["doc_id", "key", "unit"])
+    run = F.col("unit") - F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("unit"))
+    whole = Window.partitionBy("doc_id", "key", "_run")
+    passages = found.withColumn("_run", run).withColumns({"_words": F.sum("n_words").over(whole), "passage_start": F.min("start").over(whole)})
+    kept = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("key") == F.col("first.key")) & (F.col("start") == F.col("first.start"))
+    return passages.where(F.col("_words") >= min_words).select(
+        "doc_id", "key", "unit", "start", "stop", "n_words", kept.alias("kept"), F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"), "passage_start",
+    )
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` without the removed lines in ``text``; a last column ``removed`` has their (start, stop) in the original.
+    """``docs`` without the removed units in ``text``; a last column ``removed`` has their (start, stop) in the original, neighbours as one.
 
-    A column of that name in ``docs`` is replaced.
+    A column of that name in ``docs`` is replaced. Other columns keep their names and values.
     """
-    gone = _repeats(docs.select("doc_id", "text"), min_words).select("doc_id", F.struct("start", "stop", "line").alias("s")).distinct()
-    gone = gone.groupBy("doc_id").agg(F.sort_array(F.collect_list("s")).alias("_gone"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id").join(gone, "doc_id", "left")
-
-    def rest(lines):
-        # by position and through a hash set, so in time linear in the lines
-        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone.line"))
-        return F.array_join(F.transform(stay, lambda i: lines[i]), "\n")
-
-    text = F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(let(F.split("_row.text", "\n", -1), rest))
-    offsets = F.transform("_gone", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
+    gone = occurrences(docs.select("doc_id", "text"), min_words).where("not kept").select("doc_id", "key", F.struct("start", "stop").alias("s"))
+    gone = gone.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list("s")).alias("_gone"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id"), text_key(F.col("text")).alias("key"))
+    rows = rows.join(gone, ["doc_id", "key"], "left")
+
+    def rest(spans: Column) -> Column:
+        # the pieces between the spans; each begins where the span before it ends
+        starts = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["stop"]))
+        stops = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.length("_row.text")))
+        return F.array_join(F.zip_with(starts, stops, lambda a, b: F.substring(F.col("_row.text"), a + 1, b - a)), "")
+
+    def merged(spans: Column) -> Column:
+        """Spans that touch as one."""
+        heads = F.filter(spans, lambda s, i: (F.get(spans, i - 1)["stop"] != s["start"]) | (i == 0))
+        tails = F.filter(spans, lambda s, i: (F.get(spans, i + 1)["start"] != s["stop"]) | (i == F.size(spans) - 1))
+        return F.zip_with(heads, tails, lambda a, b: F.struct(a["start"].alias("start"), b["stop"].alias("stop")))
+
+    rows = rows.withColumn("_gone", F.when(F.col("_gone").isNotNull(), let(F.col("_gone"), merged)))
+    text = F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(let(F.col("_gone"), rest))
     return rows.select(
         *[text.alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns if c != "removed"],
-        F.coalesce(offsets, F.array().cast("array<struct<start:int,stop:int>>")).alias("removed"),
+        F.coalesce("_gone", F.array().cast("array<struct<start:int,stop:int>>")).alias("removed"),
     )
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return occurrences(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("key", "unit")
 
 
 ORACLE = r"""
-with l as (
-  select doc_id, i, lines[i] as line,
-    cast(coalesce(list_sum(list_transform(lines[1:i - 1], lambda x: length(x) + 1)), 0) as integer) as start
-  from (select doc_id, lines, unnest(range(1, len(lines) + 1)) as i from (select doc_id, string_split(text, chr(10)) as lines from documents where text is not null))),
+with t as (select doc_id, text, ('0x' || substring(md5(text), 1, 15))::bigint as key from (select distinct doc_id, text from documents where doc_id is not null and text is not null)),
+p as (
+  select doc_id, key, unnest(range(1, len(p) + 1)) as unit, unnest(p) as p
+  from (select doc_id, key, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^.!?\n]*[.!?\n][\x00-\x2F\x3A-\x60\x7B-\x7F]*|[^.!?\n]+') as p from t)),
+o as (select *, cast(sum(length(p)) over (partition by doc_id, key order by unit) as integer) as stop from p),
 u as (
-  select doc_id, start, start + cast(length(line) as integer) as stop,
-    list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
-  from l),
-k as (select doc_id, start, cast(stop as integer) as stop, cast(len(w) as integer) as n_words, array_to_string(w, ' ') as k from u where len(w) >= 5),
+  select doc_id, key, unit, cast(stop - length(p) as integer) as start, stop,
+    list_filter(regexp_split_to_array(p, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from o),
+k as (select doc_id, key, unit, start, stop, cast(len(w) as integer) as n_words, array_to_string(w, ' ') as s from u where len(w) > 0),
 f as (
-  select *, first_value(doc_id) over o as kept_doc_id, first_value(start) over o as kept_start from k
-  window o as (partition by k order by doc_id, start))
-select doc_id, start, stop, n_words, kept_doc_id, kept_start from f where doc_id <> kept_doc_id or start <> kept_start
+  select *, first_value(doc_id) over e as kept_doc_id, first_value(key) over e as kept_key, first_value(start) over e as kept_start, count(*) over (partition by s) as n
+  from k window e as (partition by s order by doc_id, key, start)),
+r as (select *, unit - row_number() over (partition by doc_id, key order by unit) as run from f where n > 1),
+g as (select *, sum(n_words) over (partition by doc_id, key, run) as words, min(start) over (partition by doc_id, key, run) as passage_start from r)
+select doc_id, start, stop, n_words, doc_id = kept_doc_id and key = kept_key and start = kept_start as kept, kept_doc_id, kept_start, passage_start
+from g where words >= 35
 """

@@ -1,6 +1,9 @@
 """Line dedup, Jaccard join, mixing, the classifiers and the pipeline against plain Python or held-out rows."""
 
+import hashlib
+import itertools
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -16,22 +19,31 @@ SHAPE = "doc_id long, text string, lang string, source string, n_chars long"
 LABELS = "doc_id long, quality int, toxic int"
 
 
-def line_removals(docs, least=5):
-    """[(doc_id, text)] -> {(doc_id, start, stop, n_words, kept_doc_id, kept_start)}"""
-    seen = defaultdict(set)
-    for doc, text in docs:
-        at = 0
-        for line in (text or "").split("\n") if doc is not None and text is not None else []:
-            if len(w := brute.words(line)) >= least:
-                seen[tuple(w)].add((doc, at, at + len(line)))
-            at += len(line) + 1
+def passages(docs, least=line_dedup.MIN_WORDS):
+    """[(doc_id, text)] -> {(doc_id, start, stop, n_words, kept, kept_doc_id, kept_start, passage_start)}"""
+    key = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:15], 16)
+    rows = {(doc, key(text)): text for doc, text in docs if doc is not None and text is not None}
+    units, seen = defaultdict(list), defaultdict(set)
+    for row, text in rows.items():
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+        for m in re.finditer(r"[^.!?\n]*[.!?\n][\x00-\x2F\x3A-\x60\x7B-\x7F]*|[^.!?\n]+", low):
+            if w := tuple(brute.words(m[0])):
+                units[row].append((m.start(), m.end(), w))
+                seen[w].add((*row, m.start()))
     out = set()
-    for w, places in seen.items():
-        (doc, start, _), *rest = sorted(places)
-        out |= {(d, a, b, len(w), doc, start) for d, a, b in rest}
+    for row, all_ in units.items():
+        for again, run in itertools.groupby(all_, key=lambda u: len(seen[u[2]]) > 1):
+            run = list(run)
+            if again and sum(len(w) for _, _, w in run) >= least:
+                for a, b, w in run:
+                    first = min(seen[w])
+                    out.add((row[0], a, b, len(w), first == (*row, a), first[0], first[2], run[0][0]))
     return out
 
 
+COLUMNS = ["doc_id", "start", "stop", "n_words", "kept", "kept_doc_id", "kept_start", "passage_start"]
+
+
 def jaccard_links(docs):
     """[(doc_id, text)] -> ({doc_id: number of linked documents}, {doc_id: class})"""
     sets = {}
@@ -72,23 +84,43 @@ LINE_CASES = {
 @pytest.mark.parametrize("case", sorted(LINE_CASES))
 def test_line_dedup_cases(spark, case):
     docs = LINE_CASES[case]
-    got = line_dedup.removed(spark.createDataFrame(docs, "doc_id long, text string")).distinct().collect()
-    assert {tuple(r) for r in got} == line_removals(docs)
+    got = [tuple(r) for r in line_dedup.occurrences(spark.createDataFrame(docs, "doc_id long, text string"), 5).select(COLUMNS).collect()]
+    assert len(got) == len(set(got)) and set(got) == passages(docs, 5)
 
 
 def test_line_dedup_on_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    got = [tuple(r) for r in line_dedup.removed(docs).collect()]
-    assert len(got) == len(set(got)) and set(got) == line_removals([tuple(r) for r in docs.collect()])
+    got = [tuple(r) for r in line_dedup.op6_line_dedup(spark, sf_dir).select(COLUMNS).collect()]
+    assert len(got) == len(set(got)) and set(got) == passages([tuple(r) for r in docs.collect()])
+
+
+def test_line_dedup_finds_passages_in_lines_and_over_lines(spark):
+    rng = random.Random(3)
+    sentence = lambda n: " ".join(prose(rng, n)).capitalize() + "."
+    passage = [sentence(18) for _ in range(3)]
+    docs = [
+        (1, sentence(9) + " " + " ".join(passage) + " " + sentence(7)), (2, sentence(5) + "\n" + "\n".join(passage)), (3, passage[0] + "\n\n" + sentence(30) + "\n" + passage[1]),
+        (4, sentence(60)), (5, "no end of this"), (6, "no end of this"),
+    ]
+    out = {r.doc_id: r for r in line_dedup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    # 18 words alone are no passage, so 3 keeps its two sentences
+    assert [out[k].text for k in (1, 3, 4, 5, 6)] == [docs[k - 1][1] for k in (1, 3, 4, 5, 6)]
+    at = docs[1][1].index(passage[0])
+    assert out[2].text == docs[1][1][:at] and [tuple(x) for x in out[2].removed] == [(at, len(docs[1][1]))]
 
 
 def test_line_dedup_cuts_texts_and_keeps_offsets(spark):
-    docs = [(1, "one two three four five\nkeep", "a", 1), (2, "top\nOne two three four five\nend", "b", 2), (3, None, "c", 3)]
-    rows = line_dedup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string, _gone string, _id int")).collect()
-    got = {r.doc_id: r for r in rows}
-    assert got[1].text == docs[0][1] and got[3].text is None
-    assert got[2].text == "top\nend" and [tuple(x) for x in got[2].removed] == [(4, 27)]
-    assert (got[2]["_gone"], got[2]["_id"]) == ("b", 2)
+    docs = [
+        (1, "one two three four five\nkeep", "a", 1), (2, "top\nOne two three four five\nend", "b", 2), (3, None, "c", 3),
+        (2, "other words\nend of this one here it is\nlast", "d", 4), (4, "end of this one here it is", "e", 5), (4, "end of this one here it is", "e", 5),
+    ]
+    rows = line_dedup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string, _gone string, key int"), 5).collect()
+    got = {(r.doc_id, r.key): r for r in rows}
+    assert len(rows) == 6 and got[1, 1].text == docs[0][1] and got[3, 3].text is None
+    assert got[2, 2].text == "top\nend" and [tuple(x) for x in got[2, 2].removed] == [(4, 28)]
+    # another text of the same id loses only what it repeats itself
+    assert got[2, 4].text == docs[3][1] and got[4, 5].text == ""
+    assert got[2, 2]["_gone"] == "b"
 
 
 def test_line_dedup_of_many_lines(spark):
@@ -97,6 +129,11 @@ def test_line_dedup_of_many_lines(spark):
     assert tuple(got) == (30_000, len(text))
 
 
+def test_line_dedup_without_rows(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, removed int")
+    assert line_dedup.occurrences(none).count() == 0 and line_dedup.deduplicated(none).columns == ["doc_id", "text", "removed"]
+
+
 def test_jaccard_classes(spark):
     rng = random.Random(5)
     docs = [(900, None), (901, ""), (902, "one"), (903, "One!"), (904, " ,. ")]
@@ -115,6 +152,39 @@ def test_jaccard_classes(spark):
     assert {r.doc_id: r.n_links for r in rows} == {doc: links[doc] for doc, _ in docs}
 
 
+def test_jaccard_of_a_large_group_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BUCKET_BLOCK", 300)
+    monkeypatch.setattr(ngram_join, "BLOCK", 200)
+    rng = random.Random(7)
+    base, docs = prose(rng, 100), []
+    for k in range(2000):
+        w = list(base)
+        for at in rng.sample(range(len(w)), k % 9):
+            w[at] = "new" + str(rng.randrange(4))
+        docs.append((k, " ".join(w)))
+    rows = ngram_join.jaccard_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    grams = sorted({g for _, t in docs for g in zip(*[t.split()[d:] for d in range(5)])})
+    at, m = {g: k for k, g in enumerate(grams)}, np.zeros((2000, len(grams)), np.float32)
+    for doc, t in docs:
+        m[doc, [at[g] for g in zip(*[t.split()[d:] for d in range(5)])]] = 1
+    both, size = m @ m.T, m.sum(axis=1)
+    link = 5 * both >= 4 * (size[:, None] + size[None, :] - both)
+    np.fill_diagonal(link, False)
+    assert {r.doc_id: r.n_links for r in rows} == dict(enumerate(link.sum(axis=1).tolist()))
+    near, before = np.arange(2000), None
+    while before is None or (near != before).any():
+        before, near = near, np.where(link | np.eye(2000, dtype=bool), near[None, :], 2000).min(axis=1)
+    assert {r.doc_id: r.class_id for r in rows} == dict(enumerate(near.tolist()))
+
+
+def test_jaccard_of_repeated_ids(spark):
+    rng = random.Random(8)
+    one, two = (" ".join(prose(rng, 200)) for _ in range(2))
+    docs = [(1, one), (1, two), (2, two + " end"), (3, one + " end"), (3, one + " end"), (4, " ".join(prose(rng, 200)))]
+    rows = ngram_join.jaccard_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links, r.first) for r in rows) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 4, 0, True)]
+
+
 def test_jaccard_stage_keeps_one_of_each_class(spark):
     base = " ".join(prose(random.Random(6), 80))
     docs = [(3, base, "en", "a", 1, "x"), (1, base, "en", "a", 1, "y"), (1, base, "en", "a", 1, "y"), (2, base + " end", "en", "b", 1, None), (4, None, None, None, None, None), (None, base, None, None, None, None)]
