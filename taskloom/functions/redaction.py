@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 MARK = "[REDACTED]"
 INPUT_BYTES, OUTPUT_CHARS = 16 * 1024, 4096
 
-# fixed values: the patterns, applied in this order, with their replacements
+# borders of words of ASCII: \b would count other letters as words and so spare what follows them
+_FROM, _TO = r"(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])", r"(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])"
+_EDGE = f"(?:{_FROM}|{_TO})"
+# fixed values: the patterns, applied in this order, with their replacements; white space is spelled out, as \s has a vertical tab here
 SECRETS = [
-    (r"(?i)\b(authorization|bearer)([\t\n\f\r ]*[:=]?[\t\n\f\r ]*)[^\t\n\f\r ]+", "$1$2" + MARK),
-    (r"(?i)\b(password|pwd)=([^\t\n\f\r &;]+)", "$1=" + MARK),
-    (r"(?i)\b([a-z][a-z0-9+.-]*://[^:/\t\n\f\r @]+:)([^@\t\n\f\r /]+)(@)", "$1" + MARK + "$3"),
+    (_FROM + r"(?i)(authorization|bearer)([\t\n\f\r ]*[:=]?[\t\n\f\r ]*)[^\t\n\f\r ]+", "$1$2" + MARK),
+    (_FROM + r"(?i)(password|pwd)=([^\t\n\f\r &;]+)", "$1=" + MARK),
+    (_FROM + r"(?i)([a-z][a-z0-9+.-]*://[^:/\t\n\f\r @]+:)([^@\t\n\f\r /]+)(@)", "$1" + MARK + "$3"),
     (r"(^|[^A-Za-z0-9_])((?:(?:sk_(?:live|test))|(?:rk_live))_[A-Za-z0-9_-]{16,})([^A-Za-z0-9_-]|$)", "$1" + MARK + "$3"),
     (r"(^|[^A-Za-z0-9_])(gh[pousr]_[A-Za-z0-9_]{20,})([^A-Za-z0-9_]|$)", "$1" + MARK + "$3"),
     (r"(^|[^A-Za-z0-9_])(xox[baprs]-[A-Za-z0-9-]{10,})([^A-Za-z0-9-]|$)", "$1" + MARK + "$3"),
@@ -20,7 +23,7 @@ SECRETS = [
     (r"(^|[^A-Z0-9])((?:AKIA|ASIA)[A-Z0-9]{16})([^A-Z0-9]|$)", "$1" + MARK + "$3"),
     (r"(^|[^A-Za-z0-9_])((?:eyJ[A-Za-z0-9_-]*)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)([^A-Za-z0-9_.-]|$)", "$1" + MARK + "$3"),
 ]
-RUN = r"\b[A-Za-z0-9+/_-]{20,}={0,2}\b|\b[0-9a-fA-F]{20,}\b"
+RUN = _EDGE + r"[A-Za-z0-9+/_-]{20,}={0,2}" + _EDGE + "|" + _FROM + r"[0-9a-fA-F]{20,}" + _TO
 UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
 
