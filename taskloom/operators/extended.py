@@ -5,6 +5,14 @@ from __future__ import annotations
 _SPLIT = "concat('a  b ', chr(10), ' c', case when id % 2 = 0 then '' else '_%' end)"
 _AGE = "(id * 7919) % 200000"  # seconds
 
+_LINES = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate"
+_RESULTS = "select fan_out_id, array_sort(collect_list(struct(fan_out_index, status, result))) as r from f_sub_jobs group by fan_out_id"
+_NAMES = "select id, concat(type, repeat('x', cast(id % 300 as int))) as n from f_jobs"
+# rewrites of some checkpoints, and calls that no job has made before
+_INCOMING = "select job_id, call_index, call_type, result + 1 as result from f_checkpoints where call_index = 0 union all select job_id, call_index + 100 as call_index, call_type, result from f_checkpoints where call_index = 1"
+_WRITES = "select job_id, call_index, call_type, result, 0 as version from f_checkpoints union all select job_id, call_index, call_type, result * 10 as result, 1 as version from f_checkpoints where call_index % 2 = 0"
+_PAUSED = "select id, status as previous_status from f_jobs where status in ('pending', 'waiting') union all select id, '' as previous_status from f_jobs where status = 'paused'"
+
 FUNCTIONS = {
     "fn_escape_like": (
         rf"select id, replace(replace(replace({_SPLIT}, '\\', '\\\\'), '%', '\\%'), '_', '\\_') as escaped from f_jobs",
@@ -49,9 +57,38 @@ FUNCTIONS = {
         "select id, case when regexp_matches(u, '^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$') then u end as parsed from (select id, lower(concat('ABCDEF01-0000-7000-8000-', lpad(cast(id as varchar), case when id % 9 = 0 then 11 else 12 end, '0'))) as u from f_jobs) x",
     ),
     "fn_array_count": "select fan_out_id, count(case when status = 'completed' then 1 end) as succeeded, count(case when status <> 'completed' then 1 end) as not_succeeded, count(*) = count(case when status = 'completed' then 1 end) as all_succeeded from f_sub_jobs group by fan_out_id",
-    "fn_collect_results": """select f.id as fan_out_id, p.i as fan_out_index, s.result, case when s.fan_out_id is null then 'incomplete' when s.status = 'failed' then 'failed' else '' end as error
-        from f_fan_outs f join (select distinct fan_out_index as i from f_sub_jobs union select 7 as i) p on p.i < f.total_count
-        left join (select fan_out_id, fan_out_index, result, status from f_sub_jobs where status in ('completed', 'failed')) s on s.fan_out_id = f.id and s.fan_out_index = p.i""",
+    "fn_array_values": (
+        f"select fan_out_id, array_join(transform(filter(r, x -> x.status = 'completed'), x -> cast(cast(x.result as bigint) as string)), ',') as vals from ({_RESULTS})",
+        "select fan_out_id, coalesce(string_agg(cast(cast(result as bigint) as varchar), ',' order by fan_out_index) filter (where status = 'completed'), '') as vals from f_sub_jobs group by fan_out_id",
+    ),
+    "fn_array_partition": (
+        f"""select fan_out_id, array_join(transform(filter(r, x -> x.status = 'completed'), x -> cast(x.fan_out_index as string)), ',') as succeeded,
+        array_join(transform(filter(r, x -> x.status <> 'completed'), x -> cast(x.fan_out_index as string)), ',') as others from ({_RESULTS})""",
+        """select fan_out_id, coalesce(string_agg(cast(fan_out_index as varchar), ',' order by fan_out_index) filter (where status = 'completed'), '') as succeeded,
+        coalesce(string_agg(cast(fan_out_index as varchar), ',' order by fan_out_index) filter (where status <> 'completed'), '') as others from f_sub_jobs group by fan_out_id""",
+    ),
+    "fn_array_all": (
+        f"select fan_out_id, forall(r, x -> x.status = 'completed') as all_succeeded from ({_RESULTS})",
+        "select fan_out_id, bool_and(status = 'completed') as all_succeeded from f_sub_jobs group by fan_out_id",
+    ),
+    "fn_collect_results": (
+        """select p.id as fan_out_id, p.i as fan_out_index, s.result, case when s.fan_out_id is null then 'incomplete' when s.status = 'failed' then 'failed' else '' end as error
+        from (select id, explode(sequence(0, total_count - 1)) as i from f_fan_outs where total_count > 0) p
+        left join (select fan_out_id, fan_out_index, result, status from f_sub_jobs where status in ('completed', 'failed')) s on s.fan_out_id = p.id and s.fan_out_index = p.i""",
+        """select p.id as fan_out_id, cast(p.i as int) as fan_out_index, case when s.status in ('completed', 'failed') then s.result end as result,
+        case s.status when 'completed' then '' when 'failed' then 'failed' else 'incomplete' end as error
+        from (select id, unnest(range(total_count)) as i from f_fan_outs) p left join f_sub_jobs s on s.fan_out_id = p.id and s.fan_out_index = p.i""",
+    ),
+    "fn_bound_limit_name": (
+        f"select id, case when length(n) > 255 then concat('h:', sha256(n)) else n end as limit_name from ({_NAMES}) x",
+        f"select id, if(strlen(n) <= 255, n, 'h:' || sha256(n)) as limit_name from ({_NAMES}) x",
+    ),
+    "fn_uuid_new": (
+        "select event_id, concat(substring(h, 1, 8), '-', substring(h, 9, 4), '-7', substring(e, 1, 3), '-', substring('89ab', 1 + cast(conv(substring(e, 4, 1), 16, 10) as int) % 4, 1), substring(e, 5, 3), '-', substring(e, 8, 12)) as made"
+        " from (select event_id, lower(lpad(hex(floor(timestampdiff(MICROSECOND, timestamp '1970-01-01 00:00:00', ts) / 1000)), 12, '0')) as h, md5(cast(event_id as string)) as e from f_events) x",
+        """select event_id, regexp_replace(printf('%012x', epoch_us(ts) // 1000), '(.{8})(.{4})', '\\1-\\2') || '-7' || e[1:3] || '-' || printf('%x', 8 + cast('0x' || e[4:4] as int) % 4) || e[5:7] || '-' || e[8:19] as made
+        from (select event_id, ts, md5(cast(event_id as varchar)) as e from f_events) x""",
+    ),
 }
 
 AGGREGATES = {
@@ -64,10 +101,55 @@ AGGREGATES = {
         "select name, last_fired_at + every_minutes * interval '1' minute as next_run, cast(floor(timestampdiff(SECOND, last_fired_at, AS_OF) / (60.0 * every_minutes)) as bigint) as missed, last_fired_at + every_minutes * interval '1' minute + interval '1' minute < AS_OF as overdue from f_scheduled_fires",
         "select name, last_fired_at + every_minutes * interval '1' minute as next_run, cast(floor((epoch(AS_OF) - epoch(last_fired_at)) / (60.0 * every_minutes)) as bigint) as missed, last_fired_at + every_minutes * interval '1' minute + interval '1' minute < AS_OF as overdue from f_scheduled_fires",
     ),
-    "agg_stats_history": """with grid as (select q.queue, h.bucket from (select distinct queue from f_job_stats) q join (select distinct date_trunc('hour', bucket_ts) as bucket from f_job_stats) h on true)
-        select g.queue, cast(g.bucket as timestamp) as bucket, cast(coalesce(s.completed, 0) as bigint) as completed, cast(coalesce(s.failed, 0) as bigint) as failed from grid g
-        left join (select queue, date_trunc('hour', bucket_ts) as bucket, sum(completed) as completed, sum(failed) as failed from f_job_stats group by queue, date_trunc('hour', bucket_ts)) s
+    "agg_stats_history": (
+        """select g.queue, g.bucket, cast(coalesce(s.completed, 0) as bigint) as completed, cast(coalesce(s.failed, 0) as bigint) as failed
+        from (select queue, cast(at as timestamp) as bucket from (select queue, explode(sequence((select date_trunc('hour', min(bucket_ts)) from f_job_stats), (select max(bucket_ts) from f_job_stats), interval '1' hour)) as at from (select distinct queue from f_job_stats) q) a) g
+        left join (select queue, cast(date_trunc('hour', bucket_ts) as timestamp) as bucket, sum(completed) as completed, sum(failed) as failed from f_job_stats group by queue, cast(date_trunc('hour', bucket_ts) as timestamp)) s
         on s.queue = g.queue and s.bucket = g.bucket""",
+        """with hours as (select unnest(generate_series(cast(date_trunc('hour', min(bucket_ts)) as timestamp), max(bucket_ts), interval '1' hour)) as bucket from f_job_stats)
+        select q.queue, h.bucket, cast(coalesce(sum(s.completed), 0) as bigint) as completed, cast(coalesce(sum(s.failed), 0) as bigint) as failed from (select distinct queue from f_job_stats) q cross join hours h
+        left join f_job_stats s on s.queue = q.queue and s.bucket_ts >= h.bucket and s.bucket_ts < h.bucket + interval '1' hour group by q.queue, h.bucket""",
+    ),
+    "src_job_detail": (
+        """select j.id, j.status, coalesce(c.n, 0) as n_checkpoints, coalesce(c.steps, '') as steps from f_jobs j left join
+        (select job_id, count(*) as n, array_join(transform(array_sort(collect_list(struct(call_index, call_type))), x -> concat(cast(x.call_index as string), ':', x.call_type)), ',') as steps from f_checkpoints group by job_id) c on c.job_id = j.id""",
+        """select j.id, j.status, count(c.job_id) as n_checkpoints, coalesce(string_agg(c.call_index || ':' || c.call_type, ',' order by c.call_index), '') as steps
+        from f_jobs j left join f_checkpoints c on c.job_id = j.id group by j.id, j.status""",
+    ),
+    "join_group_children": (
+        """select f.parent_job_id, coalesce(s.children, '') as children, coalesce(s.n, 0) as n_children from f_fan_outs f left join
+        (select fan_out_id, count(*) as n, array_join(transform(array_sort(collect_list(struct(fan_out_index, status))), x -> concat(cast(x.fan_out_index as string), ':', x.status)), ',') as children from f_sub_jobs group by fan_out_id) s on s.fan_out_id = f.id""",
+        """select f.parent_job_id, coalesce(string_agg(s.fan_out_index || ':' || s.status, ',' order by s.fan_out_index), '') as children, count(s.fan_out_id) as n_children
+        from f_fan_outs f left join f_sub_jobs s on s.fan_out_id = f.id group by f.id, f.parent_job_id""",
+    ),
+    "win_fanout_position": (
+        f"select l_orderkey as fan_out_id, l_linenumber, cast(row_number() over (partition by l_orderkey order by {_LINES}) - 1 as int) as fan_out_index from lineitem",
+        f"select l_orderkey as fan_out_id, l_linenumber, cast(count(*) over (partition by l_orderkey order by {_LINES} rows between unbounded preceding and 1 preceding) as int) as fan_out_index from lineitem",
+    ),
+    "win_latest_checkpoint": (
+        f"select job_id, call_index, call_type, max_by(result, version) as result from ({_WRITES}) w group by job_id, call_index, call_type",
+        f"select job_id, call_index, call_type, result from (select *, row_number() over (partition by job_id, call_index, call_type order by version desc) as k from ({_WRITES}) w) x where k = 1",
+    ),
+    # boundaries after the last fire; those a minute old or older are missed
+    "win_missed_fires": (
+        """select name, greatest(cast(floor((n - 60) / cast(d as double)) as bigint) - cast(floor(p / cast(d as double)) as bigint), 0) as missed from (select name, cast(60 * every_minutes as bigint) as d,
+        timestampdiff(SECOND, timestamp '1970-01-01 00:00:00', last_fired_at) as p, timestampdiff(SECOND, timestamp '1970-01-01 00:00:00', AS_OF) as n from f_scheduled_fires) x""",
+        """select name, count(t) as missed from (select name, last_fired_at, unnest(generate_series(0, cast(epoch(AS_OF) as bigint), 60 * every_minutes)) as t from f_scheduled_fires
+        union all select name, null, null from f_scheduled_fires) x where t is null or (t > epoch(last_fired_at) and t <= epoch(AS_OF) - 60) group by name""",
+    ),
+    # a bound for a schedule of one fire in 5 s: floor(12 / 5) + 2 in any 12 s
+    "inv_schedule": (
+        "select count(*) as violations from (select queue, floor(timestampdiff(SECOND, timestamp '1970-01-01 00:00:00', ts) / 12.0) as w, count(*) as n from f_events group by 1, 2) x where n > 4",
+        "select count(*) as violations from (select queue, time_bucket(interval '12' second, ts, timestamp '1970-01-01 00:00:00') as w, count(*) as n from f_events group by 1, 2) x where n > 4",
+    ),
+    "inv_timer": (
+        "select expected, fired, expected = fired as ok from (select count(*) as expected, count(case when status <> 'waiting' then 1 end) as fired from f_jobs where run_at <= AS_OF) x",
+        "select count(*) as expected, count(*) filter (where status <> 'waiting') as fired, bool_and(status <> 'waiting') as ok from f_jobs where run_at <= AS_OF",
+    ),
+    "str_prune": (
+        "select queue, bucket_ts from f_job_stats where bucket_ts >= (select max(bucket_ts) from f_job_stats) - interval '31' day",
+        "select queue, bucket_ts from (select *, max(bucket_ts) over () as last_ts from f_job_stats) x where last_ts - bucket_ts <= interval '31' day",
+    ),
     "flt_retention": """select j.id from f_jobs j where j.status in ('completed', 'failed', 'cancelled') and j.completed_at < AS_OF - interval '30' day
         and not exists (select 1 from f_jobs c where c.parent_job_id = j.id and c.status not in ('completed', 'failed', 'cancelled'))
         and not exists (select 1 from f_fan_outs f where f.parent_job_id = j.id and f.status = 'pending')""",
@@ -75,7 +157,12 @@ AGGREGATES = {
 
 SINKS = {
     "snk_enqueue_batch": """select id, type, queue, unique_key from (select *, row_number() over (partition by case when unique_key = '' then cast(id as string) else unique_key end order by id) as k from f_jobs where status = 'pending') x where k = 1""",
-    "snk_checkpoint": "select job_id, call_type, result from (select *, row_number() over (partition by job_id, call_type order by call_index desc) as k from f_checkpoints) x where k = 1",
+    "snk_checkpoint": (
+        f"""select coalesce(n.job_id, o.job_id) as job_id, coalesce(n.call_index, o.call_index) as call_index, coalesce(n.call_type, o.call_type) as call_type, case when n.job_id is null then o.result else n.result end as result
+        from f_checkpoints o full outer join ({_INCOMING}) n on n.job_id = o.job_id and n.call_index = o.call_index and n.call_type = o.call_type""",
+        f"""select job_id, call_index, call_type, result from ({_INCOMING}) n union all
+        select job_id, call_index, call_type, result from f_checkpoints o where (job_id, call_index, call_type) not in (select (job_id, call_index, call_type) from ({_INCOMING}) n)""",
+    ),
     "snk_result": "select id, case when status = 'running' and locked_by = 'w4' then '{}' else args end as result from f_jobs",
     "snk_stats_upsert": """select queue, bucket_ts, cast(sum(completed) as bigint) as completed, cast(sum(failed) as bigint) as failed from
         (select queue, bucket_ts, completed, failed from f_job_stats union all select queue, bucket_ts, completed, failed from f_job_stats where completed > 0) x group by queue, bucket_ts""",
@@ -84,6 +171,10 @@ SINKS = {
 }
 
 TRANSITIONS = {
+    "dml_unpause": (
+        f"select id, coalesce(nullif(previous_status, ''), 'pending') as status from ({_PAUSED}) x",
+        f"select id, case previous_status when '' then 'pending' else previous_status end as status from ({_PAUSED}) x",
+    ),
     "dml_wait_until": "select id, 'waiting' as status, AS_OF + interval '5' minute as run_at, '' as locked_by from f_jobs where status = 'running' and locked_by = 'w6'",
     "dml_cancel_sub": "select fan_out_id, fan_out_index, case when status in ('pending', 'running') then 'cancelled' else status end as status from f_sub_jobs where fan_out_id % 3 = 0",
     "dml_fanout_status": """select f.id, case when f.status = 'pending' and s.done >= f.total_count then 'completed' else f.status end as status from f_fan_outs f

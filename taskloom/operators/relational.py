@@ -3,7 +3,7 @@
 Every text runs unchanged in meaning on both engines, over the derived job
 dataset; Catalyst plans it. Limits stand only where they are the feature (a
 claim, a page, a top-k). Orders end in a unique key, so results are total.
-A pair is (our text, the oracle's) where the oracle's does less than the whole job.
+A pair is (our text, the oracle's), the oracle's stated by another route.
 """
 
 from __future__ import annotations
@@ -27,8 +27,6 @@ SCANS = {
     "src_fire_times": "select name, last_fired_at from f_scheduled_fires where last_fired_at is not null",
     "src_peek_signal": "select job_id, name, min(id) as oldest_id, min(created_at) as oldest_at from f_signals where consumed_at is null group by job_id, name",
     "src_stats_history": "select queue, bucket_ts, completed, failed, retried from f_job_stats where queue = 'q1' order by bucket_ts",
-    "src_job_detail": """select j.id, j.status, count(c.job_id) as n_checkpoints, min(c.call_index) as first_index, max(c.call_index) as last_index
-        from f_jobs j left join f_checkpoints c on c.job_id = j.id group by j.id, j.status""",
     "src_load_status": "select id, status, status in ('completed', 'failed', 'cancelled') as terminal from f_jobs",
     "src_load_result": """select id, case status when 'completed' then 'value' when 'failed' then 'error' when 'cancelled' then 'cancelled' else 'not finished' end as outcome,
         case when status = 'failed' then last_error end as error from f_jobs""",
@@ -55,10 +53,7 @@ FILTERS = {
         and (locked_by is null or locked_by <> 'w1' or status in ('completed', 'failed', 'cancelled'))
         and (status not in ('completed', 'failed', 'cancelled') or locked_by <> '')""",
     "flt_owned": f"select {J} from f_jobs where locked_by = 'w5' and status = 'running'",
-    "flt_consumed_signals": (
-        "select id from f_signals where consumed_at is not null and consumed_at < AS_OF - interval '7' day order by consumed_at, id",
-        "select id from f_signals where consumed_at is not null and consumed_at < AS_OF - interval '7' day order by consumed_at, id limit 1000",
-    ),
+    "flt_consumed_signals": "select id from f_signals where consumed_at is not null and consumed_at < AS_OF - interval '7' day order by consumed_at, id",
     "flt_expired_locks": "select scope_hash, job_id from f_unique_locks where expires_at <= AS_OF",
     "flt_expired_slots": "select slot_name, job_id from f_slots where expires_at < AS_OF and job_id <> -1",
     "flt_dead_letter": "select id, queue, last_error from f_jobs where dead_lettered_at is not null and queue = 'ASIA' and last_error like '%boom 1%'",
@@ -105,16 +100,15 @@ JOINS = {
     "join_batch_complete": """with items as (select id, concat('w', cast(id % 8 as string)) as worker from f_jobs where id % 4 = 1)
         select j.id, 'completed' as status from f_jobs j join items i on i.id = j.id and i.worker = j.locked_by where j.status = 'running'""",
     "join_fanout_overlay": f"""with {COUNTS} select f.id, f.status, coalesce(c.n, 0) as live, f.total_count - coalesce(c.n, 0) as missing from f_fan_outs f left join c on c.fan_out_id = f.id""",
-    "join_group_children": "select f.parent_job_id, count(s.fan_out_id) as n_children, sum(s.result) as total from f_fan_outs f left join f_sub_jobs s on s.fan_out_id = f.id group by f.parent_job_id",
     "join_queue_report": (
         """with p as (select queue, count(*) as pending from f_jobs where status = 'pending' group by queue),
         d as (select queue, count(*) as dlq from f_jobs where dead_lettered_at is not null group by queue),
         o as (select queue, min(created_at) as oldest_pending from f_jobs where status = 'pending' group by queue)
         select queue, coalesce(pending, 0) as pending, coalesce(dlq, 0) as dlq, oldest_pending, greatest(timestampdiff(SECOND, oldest_pending, AS_OF), 0) as backlog_age_s
         from p full outer join d using (queue) full outer join o using (queue)""",
-        """with p as (select queue, count(*) as pending from f_jobs where status = 'pending' group by queue),
-        r as (select queue, count(*) as running from f_jobs where status = 'running' and id % 3 = 0 group by queue)
-        select coalesce(p.queue, r.queue) as queue, coalesce(pending, 0) as pending, coalesce(running, 0) as running from p full outer join r on p.queue = r.queue""",
+        """select queue, count(case when status = 'pending' then 1 end) as pending, count(dead_lettered_at) as dlq, min(case when status = 'pending' then created_at end) as oldest_pending,
+        cast(greatest(epoch(AS_OF) - epoch(min(case when status = 'pending' then created_at end)), 0) as bigint) as backlog_age_s
+        from f_jobs group by queue having count(case when status = 'pending' or dead_lettered_at is not null then 1 end) > 0""",
     ),
     "join_history_merge": """with a as (select bucket_ts, sum(completed) as n from f_job_stats where queue = 'q1' and completed > 0 group by bucket_ts),
         b as (select bucket_ts, sum(failed) as n from f_job_stats where queue = 'q1' and failed > 0 group by bucket_ts)
@@ -179,14 +173,10 @@ WINDOWS = {
         (select id, queue, row_number() over (partition by queue order by priority desc, created_at, id) as k from f_jobs where status = 'pending') where k <= 12) where slot <= 12""",
     "win_rate_admission": """select event_id from (select event_id, row_number() over (partition by queue, cast(date_trunc('minute', ts) as timestamp) order by ts, event_id) as k from f_events) where k <= 2""",
     "win_fifo_signals": "select id, job_id, name, cast(row_number() over (partition by job_id, name order by created_at, id) as bigint) as position from f_signals where consumed_at is null",
-    "win_fanout_position": "select fan_out_id, fan_out_index, status from f_sub_jobs",
-    "win_latest_checkpoint": "select job_id, call_type, result from (select job_id, call_type, result, row_number() over (partition by job_id, call_type order by call_index desc) as k from f_checkpoints) where k = 1",
     "win_inbatch_dedup": "select id, unique_key, first_value(id) over (partition by unique_key order by id) as kept_id from f_jobs where unique_key <> ''",
     "win_consecutive_orphans": """with e as (select queue, event_id, ts, type, row_number() over (partition by queue order by ts, event_id) - row_number() over (partition by queue, type order by ts, event_id) as island from f_events)
         select queue, min(event_id) as first_event, count(*) as run from e where type = 'job.failed' group by queue, island having count(*) >= 3""",
     "win_status_transitions": "select event_id, queue, type, lag(type) over (partition by queue order by ts, event_id) as before from f_events",
-    "win_missed_fires": """select name, cast(greatest(floor((datediff_minutes - 1) / every_minutes), 0) as bigint) as missed from
-        (select name, every_minutes, n_minutes as datediff_minutes from (select n_name as name, 30 + 15 * n_regionkey as every_minutes, n_nationkey * 37 as n_minutes from nation))""",
 }
 
 SORTS = {
@@ -198,10 +188,7 @@ SORTS = {
     "srt_page_bounds": "select cast(ceil(count(*) / 50.0) as bigint) as pages, least(count(*), 50) as last_row from f_jobs",
     "srt_dlq": "select id, queue, dead_lettered_at from f_jobs where dead_lettered_at is not null order by dead_lettered_at desc, id desc limit 50",
     "srt_keyset": f"select {J} from f_jobs where status = 'waiting' and id > 1000 order by id limit 100",
-    "srt_retention": (
-        "select id, completed_at from f_jobs where status = 'completed' and completed_at < AS_OF - interval '30' day order by completed_at, id",
-        "select id, completed_at from f_jobs where status = 'completed' and completed_at < AS_OF - interval '30' day order by completed_at, id limit 1000",
-    ),
+    "srt_retention": "select id, completed_at from f_jobs where status = 'completed' and completed_at < AS_OF - interval '30' day order by completed_at, id",
     "srt_stale": "select id from f_jobs where status = 'running' order by coalesce(last_heartbeat_at, started_at, locked_until), id limit 100",
     "srt_top_queues": "select queue, count(case when status = 'pending' then 1 end) as backlog, count(case when status = 'failed' then 1 end) as failed from f_jobs group by queue order by 2 desc, 3 desc, 1 limit 5",
     "srt_workflows": "select parent_job_id, count(case when status = 'failed' then 1 end) as failed from f_jobs where parent_job_id is not null group by parent_job_id order by 2 desc, 1 limit 50",
@@ -210,7 +197,10 @@ SORTS = {
 
 SETS = {
     "set_union_all": "select id, 'a' as part from f_jobs where id % 10 = 1 union all select id, 'b' as part from f_jobs where id % 10 in (1, 2)",
-    "set_union_status": f"select {J} from f_jobs where status = 'pending' union all select {J} from f_jobs where status = 'running'",
+    "set_union_status": (
+        f"select {J} from f_jobs where status in ('pending', 'running')",
+        f"select {J} from f_jobs where status = 'pending' union all select {J} from f_jobs where status = 'running'",
+    ),
     "set_union_keys": "select queue from f_jobs union select queue from f_events",
     "set_difference_committed": "select id from f_jobs where status = 'running' except select id from f_jobs where status = 'running' and locked_by = 'w1'",
     "set_distinct": "select distinct parent_job_id from f_jobs where parent_job_id is not null",
@@ -233,9 +223,7 @@ INVARIANTS = {
     "inv_fanout_counts": f"with {COUNTS} select count(*) as violations from f_fan_outs f left join c on c.fan_out_id = f.id where coalesce(done, 0) + coalesce(failed, 0) + coalesce(cancelled, 0) <> f.total_count",
     "inv_unique": "select count(*) as violations from (select unique_key from f_jobs where unique_key <> '' and status in ('pending', 'running') group by unique_key having count(*) <> 1)",
     "inv_unique_windowed": "select count(*) as violations from (select scope_hash from f_unique_locks group by scope_hash having count(*) <> 1)",
-    "inv_schedule": "select count(*) as violations from (select queue, bucket_ts, sum(completed) as n from f_job_stats group by queue, bucket_ts) where n > 4",
     "inv_signal": "select count(*) as sent, count(consumed_at) as consumed from f_signals",
-    "inv_timer": "select count(*) as due, count(case when status <> 'waiting' then 1 end) as fired from f_jobs where run_at <= AS_OF",
     "inv_slots": "select count(*) as violations from f_slots where job_id <> -1 and expires_at >= AS_OF",
     "inv_rate": "select count(*) as violations from f_job_stats where completed < 0 or failed < 0 or retried < 0",
     "inv_checks": "select count(*) as violations from f_jobs where status not in ('pending', 'running', 'completed', 'failed', 'waiting', 'paused', 'cancelled', 'retrying') or attempt < 0 or max_retries < 0",
@@ -246,7 +234,6 @@ INVARIANTS = {
 FUNCTIONS = {
     "fn_valid_name": "select id, type, regexp_extract(type, '^[a-zA-Z][a-zA-Z0-9_.-]*$', 0) <> '' and length(type) <= 255 as valid from f_jobs",
     "fn_unique_key_ok": "select id, length(unique_key) <= 255 as ok from f_jobs",
-    "fn_bound_limit_name": "select id, case when length(type) > 10 then concat('h:', sha256(type)) else type end as limit_name from f_jobs",
     "fn_trunc_minute": "select event_id, cast(date_trunc('minute', ts) as timestamp) as minute from f_events",
     "fn_clamp": "select id, least(greatest(attempt * 60 - 30, 0), 100) as retries, greatest(attempt - 1, 0) as floored from f_jobs",
     "fn_backoff": "select id, least(power(2.0, attempt), 60.0) as delay_s from f_jobs",
@@ -272,7 +259,6 @@ TRANSITIONS = {
     "dml_resume_signal": "select j.id, 'pending' as status from f_jobs j where j.status = 'waiting' and exists (select 1 from f_signals s where s.job_id = j.id and s.consumed_at is null)",
     "dml_pause_graceful": "select id, 'paused' as status, status as previous_status from f_jobs where status in ('pending', 'waiting')",
     "dml_pause_aggressive": "select id, case when status = 'running' then 'cancelled' else 'paused' end as status, status as previous_status from f_jobs where status in ('pending', 'waiting', 'running')",
-    "dml_unpause": "select id, coalesce(nullif(case when id % 2 = 0 then 'waiting' else '' end, ''), 'pending') as status from f_jobs where status = 'paused'",
     "dml_cancel_subs": "select fan_out_id, fan_out_index, 'cancelled' as status from f_sub_jobs where status in ('pending', 'running')",
     "dml_fanout_reconcile": f"with {COUNTS} select f.id, coalesce(done, 0) as completed_count, coalesce(failed, 0) as failed_count, coalesce(cancelled, 0) as cancelled_count from f_fan_outs f left join c on c.fan_out_id = f.id",
     "dml_requeue": f"select id, 'pending' as status, 0 as attempt, '' as last_error from f_jobs where status in {BAD}",
@@ -297,7 +283,6 @@ STREAM_FORMS = {
     "str_lease": "select scope_hash as name, case when expires_at < AS_OF then 'me' else cast(job_id as string) end as owner from f_unique_locks",
     "str_signal_mailbox": "select job_id, name, min(id) as head, count(*) as depth from f_signals where consumed_at is null group by job_id, name",
     "str_resume": "select distinct j.id from f_jobs j left join f_signals s on s.job_id = j.id and s.consumed_at is null where j.status = 'waiting' and (s.id is not null or j.run_at <= AS_OF)",
-    "str_prune": "select queue, bucket_ts from f_job_stats where bucket_ts >= timestamp '1970-01-01 00:00:00'",
 }
 
 ALL = {**SCANS, **FILTERS, **JOINS, **AGGREGATES, **WINDOWS, **SORTS, **SETS, **INVARIANTS, **FUNCTIONS, **TRANSITIONS, **STREAM_FORMS}

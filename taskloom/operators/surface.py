@@ -278,7 +278,7 @@ _sql(
     """select reason, cast(sum(k) as bigint) as n from (select case when q.paused then 'paused' else 'queue_cap' end as reason, case when q.paused then c.n else greatest(c.n - 50, 0) end as k
         from (select queue, count(*) as n from f_jobs where status = 'pending' group by queue) c join f_queue_states q on q.queue = c.queue) x where k > 0 group by reason""",
     """select reason, count(*) as n from (select case when q.paused then 'paused' when j.rank_in_queue > 50 then 'queue_cap' else 'run' end as reason
-        from (select queue, row_number() over (partition by queue, id % 64 order by priority desc, id) as rank_in_queue from f_jobs where status = 'pending') j join f_queue_states q on q.queue = j.queue) x where reason <> 'run' group by reason""",
+        from (select queue, row_number() over (partition by queue order by priority desc, id) as rank_in_queue from f_jobs where status = 'pending') j join f_queue_states q on q.queue = j.queue) x where reason <> 'run' group by reason""",
 )
 _sql(
     "dml_suspend_fanout",
