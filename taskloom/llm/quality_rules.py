@@ -32,6 +32,9 @@ THRESHOLDS: list[tuple[str, str, float]] = [
     ("repeat_word_ratio", "<=", 0.5),
 ]
 
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_dup_chars", "n_line_chars", "n_stop_words", "n_repeat_words"]
+MADE = ("_q", "_kept", "_failed")
+
 METRICS = {
     "mean_word_chars": "word_chars / greatest(n_words, 1)",
     "symbol_ratio": "n_symbols / greatest(n_words, 1)",
@@ -73,7 +76,7 @@ def _repeat_words(grams: Column) -> Column:
 
 
 def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the struct column ``_q`` of all counts.
+    """(_row, _q): the rows of ``docs`` as a struct, and the struct of all counts.
 
     n_words, word_chars, n_symbols, n_dup_lines, n_dup_chars (of those lines),
     n_line_chars (of all lines), n_stop_words and n_repeat_words. Windows are
@@ -82,7 +85,9 @@ def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     stop = sorted({w for words in STOP_WORDS.values() for w in words.split()})
     body = F.coalesce(F.col(text), F.lit(""))
     bare = F.trim(body, F.lit(BLANKS))
-    step = docs.withColumn("_w", F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+")))
+    # the row is packed, so columns of any name stay apart from those made here
+    step = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), body.alias("_t"), bare.alias("_b"))
+    step = step.withColumn("_w", F.when(F.col("_b") == "", F.array().cast("array<string>")).otherwise(F.split("_b", r"[\x20\x09-\x0D]+")))
     step = step.withColumn(
         "_h",
         F.slice(
@@ -91,12 +96,12 @@ def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
             F.greatest(F.size("_w") - 2, F.lit(0)),
         ),
     )
-    step = step.withColumn("_l", F.filter(F.split(body, "\n"), lambda x: F.trim(x, F.lit(BLANKS)) != ""))
+    step = step.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: F.trim(x, F.lit(BLANKS)) != ""))
     line_chars, once_chars = (F.length(F.array_join(x, "")) for x in (F.col("_l"), F.array_distinct("_l")))
     q = F.struct(
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        (F.size(F.split(body, r"[#*$%&|<>]", -1)) - 1).cast("long").alias("n_symbols"),
+        (F.size(F.split("_t", r"[#*$%&|<>]", -1)) - 1).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         (line_chars - once_chars).cast("long").alias("n_dup_chars"),
         line_chars.cast("long").alias("n_line_chars"),
@@ -106,18 +111,15 @@ def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     # always true; a seeded expression that Catalyst won't copy into filters above,
     # where each rule would count everything anew
     once = F.when(F.monotonically_increasing_id() >= 0, q)
-    return step.withColumn("_q", once).drop("_w", "_h", "_l")
+    return step.select("_row", once.alias("_q"))
 
 
 def quality_rules(docs: DataFrame, text: str = "text", thresholds=None) -> DataFrame:
-    """Every row of ``docs`` with ``_q`` (counts), ``_kept`` and ``_failed`` (rules)."""
+    """Every row of ``docs`` with ``_q`` (counts), ``_kept`` and ``_failed`` (rules); columns of those names are replaced."""
     kept, failed = compile_thresholds(THRESHOLDS if thresholds is None else thresholds)
     measured = metrics(docs, text)
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_dup_chars", "n_line_chars", "n_stop_words", "n_repeat_words"]
-    keep = [F.col(f"`{c}`") for c in docs.columns]
-    # the counts get names of their own for the rules, apart from clashing columns of docs
-    flat = measured.select(F.struct(*keep).alias("_row"), "_q", *[F.col(f"_q.{n}").alias(n) for n in names])
-    return flat.select("_row.*", "_q", kept.alias("_kept"), failed.alias("_failed"))
+    flat = measured.select("_row", "_q", *[F.col(f"_q.{n}").alias(n) for n in COUNTS])
+    return flat.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in MADE], "_q", kept.alias("_kept"), failed.alias("_failed"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +131,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules reject go."""
-    return quality_rules(docs).where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept, _ = compile_thresholds(THRESHOLDS)
+    measured = metrics(docs)
+    return measured.select("_row", *[F.col(f"_q.{n}").alias(n) for n in COUNTS]).where(kept).select("_row.*")
 
 
 _STOP_SQL = ", ".join(f"'{w}'" for w in sorted({w for words in STOP_WORDS.values() for w in words.split()}))
@@ -157,14 +161,15 @@ m as (
   from g left join rep using (rid)),
 q as (
   select *, cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines,
+    length(array_to_string(l, '')) as line_chars, length(array_to_string(l, '')) - length(array_to_string(list_distinct(l), '')) as dup_chars,
     n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed
   from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and n_words <= 1000000
+  not base_failed
     and word_chars / greatest(n_words, 1) between 2.0 and 20.0
     and n_symbols / greatest(n_words, 1) <= 0.3
     and n_stop / greatest(n_words, 1) >= 0.01
-    and n_dup_lines / greatest(len(l), 1) <= 0.3
+    and dup_chars / greatest(line_chars, 1) <= 0.3
     and n_repeat_words / greatest(n_words, 1) <= 0.5 as kept
 from q
 """
