@@ -9,8 +9,10 @@ Allow-listed candidates (UUIDs, digits only, letters only, paths, marked
 examples, digests after "sha256:" and the like, runs of an alphabet) are not
 added. Base spans always stay.
 
-Native, one projection, no shuffle. A null text counts as empty. Repeated rows
-are scanned row by row.
+Native, one projection, no shuffle. Time is linear in a text, however long a
+candidate or however many matches. A null text counts as empty. Repeated rows
+are scanned row by row; of two candidates that overlap the first stays. No rows,
+no result. Columns of any name are kept, but for the two that are made.
 """
 
 from __future__ import annotations
@@ -46,7 +48,7 @@ ALLOW = [
     r"^[^0-9]+$",  # words, joined words and rules of - or =
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # UUIDs
     r"(?i)example|placeholder|changeme|dummy|xxxx|0123456789|abcdefgh|qwerty",
-    r"^/?(?:[A-Za-z]+[0-9]*[/_-])+[A-Za-z]*[0-9]*$",  # paths and slugs of words
+    r"^/?(?:[A-Za-z]++[0-9]*+[/_-])++[A-Za-z]*+[0-9]*+$",  # paths and slugs of words
     r"^(?:[A-Za-z0-9_]+=)?[0-9_./+=-]+$",  # versions, dates, numeric ranges
 ]
 #: Text just before a candidate that names it as a digest or an id of public record.
@@ -63,33 +65,34 @@ def base(text: Column) -> Column:
 
 
 def window_entropy(s: Column, width: int = WINDOW) -> Column:
-    """Greatest Shannon entropy, in bits, of the ``width``-character windows of ``s``."""
+    """Greatest Shannon entropy, in bits, of the ``width``-character windows of ASCII ``s``; 0 for shorter ones.
+
+    The fold holds the sum of c * log2(c) over the window's characters. A step
+    counts the entering and the leaving character among the window's, so it
+    costs the same at any place of a text of any length.
+    """
     term = F.array(*[F.lit(0.0 if c < 2 else c * math.log2(c)) for c in range(width + 2)])
 
-    def moved(acc: Column, code: Column, change: int) -> Column:
-        now = F.get(acc["n"], code)
-        return F.struct(
-            F.transform(acc["n"], lambda c, i: F.when(i == code, c + change).otherwise(c)).alias("n"),
-            (acc["t"] + F.get(term, now + change) - F.get(term, now)).alias("t"),
-            acc["top"].alias("top"),
-        )
-
-    def step(acc: Column, i: Column) -> Column:
-        enter = F.ascii(F.substring(s, i, F.lit(1)))
-        grown = F.when(
-            i > width, let(moved(acc, F.ascii(F.substring(s, i - width, F.lit(1))), -1), lambda a: moved(a, enter, 1))
-        ).otherwise(moved(acc, enter, 1))
-        return let(
-            grown,
-            lambda a: F.struct(
-                a["n"].alias("n"),
-                a["t"].alias("t"),
-                F.when(i >= width, F.greatest(a["top"], F.lit(math.log2(width)) - a["t"] / width)).otherwise(a["top"]).alias("top"),
-            ),
-        )
-
-    zero = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("t"), F.lit(0.0).alias("top"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), zero, step, lambda acc: acc["top"])
+    def walked(codes: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            enter, leave = F.get(codes, i), F.get(codes, i - width)
+            window = F.slice(codes, F.greatest(i - width + 1, F.lit(1)), F.least(i, F.lit(width)))  # before this step
+
+            def moved(w: Column) -> Column:
+                count = lambda x: F.size(F.filter(w, lambda y: y == x))
+                gone = F.when(leave.isNull(), 0.0).otherwise(let(count(leave), lambda n: F.get(term, n - 1) - F.get(term, n)))
+                held = count(enter) - F.coalesce((leave == enter).cast("int"), F.lit(0))
+                return acc["t"] + gone + let(held, lambda n: F.get(term, n + 1) - F.get(term, n))
+
+            def topped(t: Column) -> Column:
+                return F.struct(t.alias("t"), F.when(i >= width - 1, F.greatest(acc["top"], F.lit(math.log2(width)) - t / width)).otherwise(acc["top"]).alias("top"))
+
+            return let(let(window, moved), topped)
+
+        zero = F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("top"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), zero, step, lambda acc: acc["top"])
+
+    return F.when(F.length(s) < width, F.lit(0.0)).otherwise(let(F.transform(F.split(s, ""), lambda c: F.ascii(c)), walked))
 
 
 def _passes(text: Column, x: Column) -> Column:
@@ -109,16 +112,17 @@ def _passes(text: Column, x: Column) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``_base`` and ``_spans`` (base and added), sorted by start and kind."""
-    step = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    step = step.withColumn("_base", base(F.col("_t")))
+    """``docs`` with ``_base`` and ``_spans`` (base and added), sorted by start and kind; columns of those names are replaced."""
+    # the row is packed, so columns of any name stay apart from those made here
+    step = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    step = step.withColumn("_b", base(F.col("_t")))
     found = sp.find(F.col("_t"), CANDIDATE, "entropy", F.col("_t").rlike(CANDIDATE))
-    found = F.filter(found, lambda x: sp.apart(x, F.col("_base")))
-    step = step.withColumn("_more", F.filter(found, lambda x: _passes(F.col("_t"), x)))
+    found = let(F.transform(found, lambda x: F.struct(F.lit(1.0).alias("p"), x.alias("x"))), lambda f: sp.chosen(f, F.col("_b")))
+    step = step.withColumn("_m", F.filter(found, lambda x: _passes(F.col("_t"), x)))
     return step.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        sp.ordered(F.col("_base"), KINDS).alias("_base"),
-        sp.ordered(F.concat("_base", "_more"), KINDS).alias("_spans"),
+        *[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in ("_base", "_spans")],
+        sp.ordered(F.col("_b"), KINDS).alias("_base"),
+        sp.ordered(F.concat("_b", "_m"), KINDS).alias("_spans"),
     )
 
 

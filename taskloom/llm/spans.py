@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from taskloom.llm.common import let
+
+BLOCK = 256
 SPAN = "array<struct<kind:string,start:int,stop:int,s:string>>"
 
 
@@ -17,6 +20,12 @@ def none() -> Column:
     return F.array().cast(SPAN)
 
 
+def blocks(values: Column) -> Column:
+    """``values`` in pieces of BLOCK; a fold that appends in each piece, and once a piece, is next to linear."""
+    last = F.ceil(F.size(values) / BLOCK).cast("int")
+    return F.when(last > 0, F.transform(F.sequence(F.lit(0), F.greatest(last - 1, F.lit(0))), lambda k: F.slice(values, k * BLOCK + 1, BLOCK))).otherwise(F.array(values))
+
+
 def find(text: Column, pattern: str, kind: str, when: Column) -> Column:
     """Leftmost non-overlapping matches of ``pattern``; rows where ``when`` fails have none.
 
@@ -32,9 +41,13 @@ def find(text: Column, pattern: str, kind: str, when: Column) -> Column:
             one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), stop.alias("stop"), x["hit"].alias("s"))
             return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
+        def walk(acc: Column, block: Column) -> Column:
+            done = F.aggregate(block, F.struct(acc["at"].alias("at"), none().alias("out")), step)
+            return let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
         pairs = F.zip_with(m, F.slice(gaps, 1, F.size(m)), lambda a, b: F.struct(a.alias("hit"), b.alias("gap")))
-        zero = F.struct(F.lit(0).alias("at"), none().alias("out"))
-        return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+        return F.aggregate(let(pairs, blocks), zero, walk, lambda acc: F.flatten(acc["out"]))
 
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     body = F.transform(F.array(hits), lambda m: F.when(F.size(m) > 0, placed(m)).otherwise(none()))[0]
@@ -64,9 +77,33 @@ def count(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
 
 
-def apart(x: Column, spans: Column) -> Column:
-    """Whether ``x`` overlaps none of ``spans``."""
-    return ~F.exists(spans, lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))
+def chosen(proposals: Column, base: Column) -> Column:
+    """Of scored ``proposals`` (array<struct<p, x: span>>) those that overlap no span of ``base`` and no better one.
+
+    One sweep by start: of two that overlap the one with the greater p stays,
+    the first on a tie; base spans win over all. Linear in the spans.
+    """
+    one = lambda p, x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), p.cast("double").alias("p"), x.alias("x"))
+    every = F.concat(F.transform(proposals, lambda e: one(e["p"], e["x"])), F.transform(base, lambda x: one(F.lit(2.0), x)))
+    item = "struct<start:int,stop:int,p:double,x:struct<kind:string,start:int,stop:int,s:string>>"
+
+    def kept(acc: Column) -> Column:
+        last = acc["last"]
+        return F.when(last.isNotNull() & (last["p"] < 2), F.concat(acc["out"], F.array(last["x"]))).otherwise(acc["out"])
+
+    def step(acc: Column, e: Column) -> Column:
+        last = acc["last"]
+        over = F.coalesce(e["start"] < last["stop"], F.lit(False))
+        better = F.when((e["p"] >= 2) & (last["p"] >= 2), e["stop"] > last["stop"]).otherwise(e["p"] > last["p"])
+        return F.struct(F.when(over & ~better, last).otherwise(e).alias("last"), F.when(over, acc["out"]).otherwise(kept(acc)).alias("out"))
+
+    def walk(acc: Column, block: Column) -> Column:
+        done = F.aggregate(block, F.struct(acc["last"].alias("last"), none().alias("out")), step)
+        return let(done, lambda d: F.struct(d["last"].alias("last"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+    zero = F.struct(F.lit(None).cast(item).alias("last"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    swept = F.aggregate(let(F.sort_array(every), blocks), zero, walk, lambda acc: kept(F.struct(acc["last"].alias("last"), F.flatten(acc["out"]).alias("out"))))
+    return F.when(F.size(proposals) > 0, swept).otherwise(none())
 
 
 def redacted(text: Column, spans: Column) -> Column:

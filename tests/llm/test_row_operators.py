@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 import brute
 from taskloom.llm import decontaminate, pii, quality_rules, secrets, sharding
+from taskloom.llm.common import once
 
 NASTY = [
     None,
@@ -87,6 +89,52 @@ def test_window_entropy_is_the_plain_one(spark):
         assert r.h == pytest.approx(plain)
 
 
+def test_entropy_of_a_very_long_candidate(spark):
+    r = random.Random(4)
+    text = "key " + "".join(r.choice("ABCDEFGHabcdefgh01234567+/") for _ in range(300_000))
+    began = time.time()
+    row = secrets.scan(frame(spark, [text])).first()
+    assert [(x.kind, x.start, x.stop) for x in row["_spans"]] == [("entropy", 4, len(text))] and time.time() - began < 60
+
+
+def test_many_matches_in_one_text(spark):
+    mails = " ".join(f"a{k}@mail{k}.example.com" for k in range(8_000))
+    began = time.time()
+    row = pii.detect(frame(spark, [mails])).first()
+    assert [(x.kind, x.start, x.stop) for x in row["_spans"]] == brute.pii_spans(mails) and time.time() - began < 60
+
+
+def test_pii_adds_nothing_in_prose(spark, sf_dir):
+    rows = pii.detect(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).collect()
+    more = [x.s for r in rows for x in r["_spans"] if x not in r["_base"]]
+    assert more == []
+    texts = ["blest at and. Thannd", "we met at home. Then left", "look at 10. Next", "sat at inheonstsh. Ndst a."]
+    assert not any(r["_spans"] for r in pii.detect(frame(spark, texts)).collect())
+
+
+def test_query_columns_state_the_spans(spark, tmp_path):
+    frame(spark, NASTY).write.parquet(f"{tmp_path}/documents.parquet")
+    for query, spans, kinds in (
+        (pii.op1_boosted_pii, brute.pii_spans, ["email", "ip", "card", "phone"]),
+        (secrets.op2_entropy_secret_scan, brute.secret_spans, ["assign", "access", "hex"]),
+    ):
+        rows = query(spark, str(tmp_path)).collect()
+        assert len(rows) == len(NASTY)
+        for r in rows:
+            base = spans(NASTY[r.doc_id])
+            assert r.base_sha256 == brute.digest(base)
+            assert [r[f"n_{k}"] for k in kinds] == [sum(b[0] == k for b in base) for k in kinds]
+            assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(r.spans.split(","))
+
+
+def test_scans_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([("token=abcdefgh a@b.cd", 1, 2, 3, 4)], "text string, _t int, _base int, _more int, _row int")
+    for scan in (pii.detect, secrets.scan):
+        out = scan(docs)
+        assert out.columns == ["text", "_t", "_more", "_row", "_base", "_spans"]
+        assert tuple(out.first())[:4] == ("token=abcdefgh a@b.cd", 1, 3, 4) and scan(docs.limit(0)).count() == 0
+
+
 def test_redaction_replaces_the_union(spark):
     r = pii.redact(frame(spark, ["to a.b@c.de or +1 212 555 1234."])).first()
     assert r["_redacted"] == "to [EMAIL] or [PHONE]."
@@ -121,10 +169,12 @@ def test_rules_keep_texts_of_any_length(spark):
 
 
 def test_rules_survive_clashing_columns_and_no_rows(spark):
-    docs = spark.createDataFrame([(1, "x", 2)], "doc_id long, text string, n_words int")
+    docs = spark.createDataFrame([(1, "x", *range(2, 10))], "doc_id long, text string, n_words int, _w int, _h int, _l int, _t int, _b int, _row int, _q int")
     out = quality_rules.quality_rules(docs)
-    assert out.columns[:3] == ["doc_id", "text", "n_words"] and out.first()["n_words"] == 2
-    assert quality_rules.stage(spark, docs.limit(0), "").count() == 0
+    assert out.columns == [*docs.columns[:-1], "_q", "_kept", "_failed"] and list(out.first())[2:9] == list(range(2, 9)) and out.first()["_q"].n_words == 1
+    assert quality_rules.stage(spark, docs, "").columns == docs.columns and quality_rules.stage(spark, docs.limit(0), "").count() == 0
+    good = spark.createDataFrame([(1, " ".join(f"the word{i}" for i in range(40)), *range(2, 10))], docs.schema)
+    assert quality_rules.stage(spark, good, "").first() == good.first()
 
 
 def test_decontamination(spark):
@@ -144,6 +194,29 @@ def test_decontamination(spark):
     assert none.where("n_hit > 0").count() == 0 and none.count() == len(docs)
 
 
+def test_decontamination_of_periodic_and_long_texts(spark):
+    r = random.Random(6)
+    items = [(1, "x " * 60), (2, "a b c " * 8), (3, "a b c d " * 5 + "end of it"), (4, "tick"), (3, "p q r s t u v w x y z")]
+    docs = [(1, "x " * 30_000), (2, "b c a " * 10), (3, "c d a b " * 7 + "end of it"), (4, "d a b c d a b c d end of it"), (5, "q r s t u v w x y z"), (6, " ".join(r.choice("abc") for _ in range(3000)))]
+    docs += [(k + 10, " ".join(r.choice(["a b c", "d", "x x x x"]) for _ in range(40))) for k in range(40)]
+    got = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((x.doc_id, x.n_words, x.n_hit, list(x["items"])) for x in got.collect()) == sorted(brute.contamination(docs, items))
+    words = spark.createDataFrame(docs[:1], "doc_id long, text string").select(once(decontaminate._hashed(F.col("text"))).alias("h"))
+    few = words.select(decontaminate._marks(F.col("h"), [], True).alias("m")).first()
+    assert len(few.m) <= 3 * 30_000 / 8 + 3
+
+
+@pytest.mark.parametrize("bound", ["BROADCAST_ROWS", "BROADCAST_HITS"])
+def test_decontamination_beyond_broadcasts(spark, monkeypatch, bound):
+    monkeypatch.setattr(decontaminate, bound, 0)
+    r = random.Random(7)
+    text = lambda n: " ".join(r.choice("abcdefgh") for _ in range(n))
+    items = [(k, text(n)) for k, n in enumerate([12, 20, 3, 10])]
+    docs = [(k, text(40) + " " + items[k % 4][1]) for k in range(30)] + [(5, None), (5, "a b"), (None, "a b c"), (7, "a b"), (7, "a b")]
+    got = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((str(x.doc_id), x.n_words, x.n_hit, list(x["items"])) for x in got.collect()) == sorted((str(d), *rest) for d, *rest in brute.contamination(docs, items))
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 500])
 def test_sharding(spark, n, monkeypatch):
     monkeypatch.setattr(sharding, "ROWS_PER_BUCKET", 16)
