@@ -96,7 +96,7 @@ def svm(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _scaled(w: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """``w`` scaled so that its margins have unit standard deviation within the classes, times four."""
+    """``w`` scaled so that its margins have a standard deviation of 1.5 within the classes."""
     m = x @ w[:-1] + w[-1]
     spread = np.sqrt(np.mean([m[y == s].var() for s in (-1, 1) if (y == s).any()]) + 1e-9)
     return w * (1.5 / spread)
@@ -173,4 +173,4 @@ def op4_hierarchical_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5) == 0
     model = train(docs.where(~held & F.col("lang").isNotNull()).select("doc_id", "text", "lang"))
-    return predicted(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return predicted(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")

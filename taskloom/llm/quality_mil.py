@@ -218,4 +218,4 @@ def op10_attention_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     held = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4) == 2
     model = train(docs, labels.where(~held))
-    return scored(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+    return scored(docs, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
