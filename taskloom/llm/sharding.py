@@ -8,7 +8,8 @@ Native. No window runs over a whole source or over all rows: both ranks are
 taken inside small digest or fraction buckets and added to bucket offsets, so
 a source with a third of all rows is spread like the others. The offset tables
 have one row per bucket; they are joined, and broadcast only if Spark's own
-size threshold allows.
+size threshold allows. Texts are read once, for size and checksum, and aren't
+shuffled, however long.
 
 A null text has size 1 and the checksum of the empty text; a null source is a
 source of its own. Repeated rows each get a slot. No rows, no result.
@@ -16,14 +17,14 @@ source of its own. Repeated rows each get a slot. No rows, no result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taskloom.llm.common import table
 
 SEED = "interleave-1"
 SHARDS = 8
-ROWS_PER_BUCKET = 4096
+ROWS_PER_BUCKET = 1024
 
 
 def _order_buckets(total: int) -> int:
@@ -51,9 +52,12 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataF
     # rank in the source: rows of earlier buckets, then the place in the bucket
     per = rows.groupBy("_s", "_b").agg(F.count("*").alias("_n"))
     whole = per.groupBy("_s").agg(F.sum("_n").alias("_ns"))
-    # buckets of a source: 16 ** digits at most, so this window is small for each source
-    before = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n").join(whole, "_s")
+    # in two levels, by the leading half of the bucket's digits, so a hot source's buckets aren't one window
+    per = per.withColumn("_g", F.substring("_b", 1, (digits + 1) // 2))
+    outer = per.groupBy("_s", "_g").agg(F.sum("_n").alias("_gn"))
+    outer = outer.select("_s", "_g", _before("_gn", ["_s"], "_g").alias("_go"))
+    per = per.withColumn("_io", _before("_n", ["_s", "_g"], "_b")).join(outer, ["_s", "_g"]).join(whole, "_s")
+    per = per.select("_s", "_b", "_ns", (F.col("_go") + F.col("_io")).alias("_off"))
     inside = Window.partitionBy("_s", "_b").orderBy("_d", "doc_id", "text_crc32", "size")
     ranked = rows.withColumn("_rn", F.row_number().over(inside)).join(per, ["_s", "_b"])
     ranked = ranked.withColumn("_f", (2 * (F.col("_off") + F.col("_rn")) - 1) / (2 * F.col("_ns")))
@@ -77,17 +81,19 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataF
     )
 
 
+def _before(n: str, keys: list[str], by: str) -> Column:
+    """The sum of ``n`` over the rows before each one, within ``keys`` in the order of ``by``."""
+    return F.coalesce(F.sum(n).over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
 def _prefix_sums(sizes: DataFrame, cuts: int) -> DataFrame:
     """Exclusive prefix sums over buckets in two levels, no window wider than sqrt(cuts) * 2."""
     width = max(1, int(cuts**0.5))
     sizes = sizes.withColumn("_g", F.floor(F.col("_c") / width))
     outer = sizes.groupBy("_g").agg(F.sum("_m").alias("_gm"))
-    outer = outer.withColumn(
-        "_go", F.coalesce(F.sum("_gm").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    )
-    inner = Window.partitionBy("_g").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    outer = outer.withColumn("_go", _before("_gm", [], "_g"))
     return (
-        sizes.withColumn("_io", F.coalesce(F.sum("_m").over(inner), F.lit(0)))
+        sizes.withColumn("_io", _before("_m", ["_g"], "_c"))
         .join(outer, "_g")
         .select("_c", (F.col("_go") + F.col("_io")).alias("_base"))
     )
