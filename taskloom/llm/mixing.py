@@ -5,12 +5,15 @@ their language as domain) gives every document, labelled or not, posterior
 probabilities over the domains. Document rates r >= 0 are then fitted so that
 the expected domain totals sum_i r_i * n_i * p_i match the targets, n_i being a
 document's words: projected gradient on the least squares of the totals, in the
-metric that weighs a document's change by its words and with the Gram matrix as
-preconditioner. A rate is a fold over the few directions so far, so an
+metric that weighs a document's change by its words and with the Gram matrix of
+the documents off the bound as preconditioner. A rate is a fold over the few directions so far, so an
 iteration is one aggregation and its state is a handful of numbers.
 
-The classifier is multinomial naive Bayes on counts of fixed letter groups; its
-statistics are sums over all labelled rows. The default total is the least one
+The classifier is multinomial naive Bayes on counts of letter groups; its
+statistics are sums over all labelled rows. The groups are learned too: single
+letters and pairs that are much more frequent in one domain than in the others,
+found on a bounded sample, about SAMPLE labelled texts a domain by a seeded
+hash of the id, so no language or script is built in. The default total is the least one
 that cuts no domain ("cover"), so documents are repeated rather than lost;
 ``total`` may fix it instead. Whole copies come from a seeded hash of the id.
 
@@ -31,17 +34,71 @@ from pyspark.sql import functions as F
 from taskloom.llm.common import BLANKS, checkpointed, once, table
 
 TARGETS = {"en": 0.50, "de": 0.20, "fr": 0.18, "es": 0.12}
-# fixed values: letter groups whose frequencies tell languages apart
-GROUPS = ["th", "w", "k", "sch", "ß", "ü", "ei", "é", "è", "ç", "eau", "qu", "ñ", "ó", "ció", "z", "ll", "ou", "y", "ar"]
-MAX_DOMAINS, ITERATIONS, TOLERANCE = 64, 8, 1e-6
+# letter groups: how many at least and for each domain, the sampled texts a domain, and the least share of a domain's groups
+GROUPS, GROUPS_A_DOMAIN, SAMPLE, RARE = 20, 2, 200, 1e-3
+MAX_DOMAINS, ITERATIONS, TOLERANCE = 64, 16, 1e-6
 TEMPER, SEED = 0.2, 17
 
 
-def _counts(low: Column) -> Column:
+def _uniform(seed: int) -> Column:
+    """A number in [0, 1) from the id."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 20)) / float(1 << 20)
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.where("domain is not null").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+def groups(docs: DataFrame, labels: DataFrame) -> list[str]:
+    """The letter groups to count, learned from ``docs`` (doc_id, domain, text) that are in ``labels``; none without any.
+
+    What comes to the driver is bounded: 1 / RARE groups a domain can have a share of RARE.
+    """
+    known = _labelled(docs.select("doc_id", "domain"), labels)
+    sizes = {r["domain"]: r["count"] for r in known.groupBy("domain").count().limit(MAX_DOMAINS + 1).collect()}
+    if len(sizes) > MAX_DOMAINS:
+        raise ValueError(f"more than {MAX_DOMAINS} domains")
+    if not sizes:
+        return []
+    share = F.lit(0.0)
+    for domain, n in sorted(sizes.items()):
+        share = F.when(F.col("domain") == domain, min(1.0, SAMPLE / n)).otherwise(share)
+    # about SAMPLE ids for each of MAX_DOMAINS domains at most; texts stay where they are
+    picked = F.broadcast(known.where(_uniform(SEED + 1) < share).select("doc_id").distinct())
+    letters = F.split(F.lower("text"), "")
+    sampled = docs.where("domain is not null").join(picked, "doc_id", "left_semi").select("domain", once(letters).alias("_l"))
+    pairs = F.transform("_l", lambda x, i: F.concat(x, F.coalesce(F.get(F.col("_l"), i + 1), F.lit(""))))
+    seen = sampled.select("domain", F.explode(F.concat("_l", pairs)).alias("g")).where(F.col("g").rlike(r"^\p{L}+$"))
+    counts = checkpointed(seen.groupBy("domain", "g").agg(F.count("*").alias("n")))
+    whole = {r["domain"]: r["n"] for r in counts.groupBy("domain").agg(F.sum("n").alias("n")).collect()}
+    least = F.lit(None).cast("double")
+    for domain, n in sorted(whole.items()):
+        least = F.when(F.col("domain") == domain, RARE * n).otherwise(least)
+    p: dict[str, dict[str, float]] = {domain: {} for domain in whole}
+    for r in counts.where(F.col("n") >= least).collect():
+        p[r["domain"]][r["g"]] = r["n"] / whole[r["domain"]]
+
+    def gain(domain: str, g: str) -> float:
+        rest = [q.get(g, 0.0) for other, q in p.items() if other != domain]
+        return p[domain][g] * math.log(p[domain][g] / max(RARE / 4, sum(rest) / max(1, len(rest))))
+
+    ranked = {domain: sorted(q, key=lambda g: (-gain(domain, g), g)) for domain, q in p.items()}
+    chosen: list[str] = []
+    for k in range(max(map(len, ranked.values()), default=0)):
+        for domain in sorted(ranked):
+            if len(chosen) >= max(GROUPS, GROUPS_A_DOMAIN * len(ranked)):
+                return chosen
+            # no group inside another, or the same letters would be counted twice
+            if k < len(ranked[domain]) and not any(ranked[domain][k] in g or g in ranked[domain][k] for g in chosen):
+                chosen.append(ranked[domain][k])
+    return chosen
+
+
+def _counts(low: Column, found: list[str]) -> Column:
     """Occurrences of each group in lower-cased text, and of all other characters."""
-    hits = [F.floor((F.octet_length(low) - F.octet_length(F.replace(low, F.lit(g), F.lit("")))) / len(g.encode())).cast("int") for g in GROUPS]
+    hits = [F.floor((F.octet_length(low) - F.octet_length(F.replace(low, F.lit(g), F.lit("")))) / len(g.encode())).cast("int") for g in found]
     rest = F.length(low)
-    for h, g in zip(hits, GROUPS, strict=True):
+    for h, g in zip(hits, found, strict=True):
         rest = rest - h * len(g)
     return F.array(*hits, F.greatest(rest, F.lit(0)))
 
@@ -51,24 +108,27 @@ def _words(text: Column) -> Column:
     return F.when(bare == "", 0).otherwise(F.size(F.split(bare, r"[\x20\x09-\x0D]+"))).cast("long")
 
 
-def features(docs: DataFrame, keep: list[str]) -> DataFrame:
+def features(docs: DataFrame, keep: list[str], found: list[str]) -> DataFrame:
     """``keep`` of every row with ``_n`` (words) and ``_c`` (counts); narrow, so what follows needs no texts."""
     text = F.coalesce(F.col("text"), F.lit(""))
     low = once(F.lower(text))
     lowered = docs.select(*[F.col(f"`{c}`") for c in keep], _words(text).alias("_n"), low.alias("_low"))
-    return lowered.select(*[F.col(f"`{c}`") for c in keep], "_n", once(_counts(F.col("_low"))).alias("_c"))
+    return lowered.select(*[F.col(f"`{c}`") for c in keep], "_n", once(_counts(F.col("_low"), found)).alias("_c"))
 
 
 def learn(labelled: DataFrame) -> dict | None:
     """Naive Bayes of (domain, _c) rows, or None without any."""
     sums = labelled.where("domain is not null")
-    rows = sums.groupBy("domain").agg(F.count("*").alias("n"), *[F.sum(F.col("_c")[i]).alias(f"c{i}") for i in range(len(GROUPS) + 1)])
+    # the counts are as long in every row
+    first = sums.select(F.size("_c")).first()
+    width = first[0] if first else 0
+    rows = sums.groupBy("domain").agg(F.count("*").alias("n"), *[F.sum(F.col("_c")[i]).alias(f"c{i}") for i in range(width)])
     rows = sorted(rows.limit(MAX_DOMAINS + 1).collect(), key=lambda r: r["domain"])
     if len(rows) > MAX_DOMAINS:
         raise ValueError(f"more than {MAX_DOMAINS} domains")
     if not rows:
         return None
-    c = np.array([[r[f"c{i}"] for i in range(len(GROUPS) + 1)] for r in rows], dtype=float) + 1
+    c = np.array([[r[f"c{i}"] for i in range(width)] for r in rows], dtype=float) + 1
     n = np.array([r["n"] for r in rows], dtype=float)
     return {"domains": [r["domain"] for r in rows], "prior": np.log(n / n.sum()), "log": np.log(c / c.sum(axis=1, keepdims=True))}
 
@@ -96,17 +156,21 @@ def fit(weighted: DataFrame, domains: list[str], targets: dict[str, float], tota
     """Directions and start rate for ``weighted`` (_n, _p), whose rows are read once for each iteration."""
     d = len(domains)
 
-    def totals(r: Column | None) -> np.ndarray:
-        w = F.col("_n") if r is None else F.col("_n") * r
-        row = weighted.agg(*[F.sum(w * F.col("_p")[i]).alias(f"t{i}") for i in range(d)]).first()
-        return np.array([x or 0.0 for x in row])
-
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    row = weighted.agg(*[F.sum(F.col("_n") * F.col("_p")[i] * F.col("_p")[j]) for i, j in pairs]).first()
-    gram = np.zeros((d, d))
-    for (i, j), x in zip(pairs, row, strict=True):
-        gram[i, j] = gram[j, i] = x or 0.0
-    now = totals(None)
+
+    def measure(directions: list[np.ndarray], start: float) -> tuple[np.ndarray, np.ndarray]:
+        """Totals at the rates so far, and the Gram matrix of the rows whose rate isn't 0: those that a step can move freely."""
+        rows = weighted.select("_n", "_p", once(rate(directions, start, F.col("_p"))).alias("_r"))
+        free = F.when(F.col("_r") > 0, F.col("_n"))
+        sums = [F.sum(F.col("_n") * F.col("_r") * F.col("_p")[i]) for i in range(d)]
+        sums += [F.sum(free * F.col("_p")[i] * F.col("_p")[j]) for i, j in pairs]
+        row = [x or 0.0 for x in rows.agg(*[x.alias(f"x{k}") for k, x in enumerate(sums)]).first()]
+        gram = np.zeros((d, d))
+        for (i, j), x in zip(pairs, row[d:], strict=True):
+            gram[i, j] = gram[j, i] = x
+        return np.array(row[:d]), gram
+
+    now, gram = measure([], 1.0)
     if now.sum() <= 0:
         return {"start": 1.0, "directions": [], "wanted": now, "reached": now}
     share = now / now.sum()
@@ -118,12 +182,11 @@ def fit(weighted: DataFrame, domains: list[str], targets: dict[str, float], tota
         total = max(now[i] / aim[i] for i in range(d) if aim[i] > 0)
     wanted, start, directions = aim * total, float(total / now.sum()), []
     reached = now * start
-    inverse = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
     for _ in range(ITERATIONS):
         if np.abs(reached - wanted).max() <= TOLERANCE * total:
             break
-        directions.append(inverse @ (wanted - reached))
-        reached = totals(rate(directions, start, F.col("_p")))
+        directions.append(np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ (wanted - reached))
+        reached, gram = measure(directions, start)
     return {"start": start, "directions": directions, "wanted": wanted, "reached": reached}
 
 
@@ -132,7 +195,7 @@ def mix(feats: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
 
     feats: doc_id, domain (known for labelled rows), _n, _c; labels: doc_id of the labelled rows.
     """
-    model = learn(feats.join(labels.select("doc_id").distinct(), "doc_id", "left_semi"))
+    model = learn(_labelled(feats, labels))
     if model is None:
         one = {"_p": F.array().cast("array<double>"), "_domain": F.lit(None).cast("string"), "_rate": F.lit(1.0), "_copies": F.lit(1)}
         return lambda rows: rows.withColumns(one)
@@ -141,13 +204,12 @@ def mix(feats: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     names = F.array(*[F.lit(x) for x in model["domains"]])
 
     def apply(rows: DataFrame) -> DataFrame:
-        u = F.pmod(F.xxhash64(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 20)) / float(1 << 20)
         r = F.when(F.col("_n") > 0, rate(found["directions"], found["start"], F.col("_p"))).otherwise(F.lit(found["start"]))
         out = rows.withColumn("_p", once(posterior(model, F.col("_c")))).withColumn("_rate", once(r))
         out = out.withColumn("_domain", F.get(names, F.array_position("_p", F.array_max("_p")).cast("int") - 1))
         # a rate just below a whole number counts as that number, so "cover" drops nothing
         whole = F.floor(F.col("_rate") + 1e-3)
-        return out.withColumn("_copies", once((whole + (u < F.col("_rate") - whole).cast("int")).cast("int")))
+        return out.withColumn("_copies", once((whole + (_uniform(SEED) < F.col("_rate") - whole).cast("int")).cast("int")))
 
     return apply
 
@@ -157,9 +219,10 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumnRenamed("lang", "domain")
-    feats = checkpointed(features(docs, ["doc_id", "domain", "source"]))
-    mixed = mix(feats, _labels(spark, sf_dir))(feats)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.col("lang").alias("domain"))
+    labels = _labels(spark, sf_dir)
+    feats = checkpointed(features(docs, ["doc_id", "domain", "source"], groups(docs, labels)))
+    mixed = mix(feats, labels)(feats)
     return mixed.select(
         "doc_id",
         "source",
@@ -173,10 +236,12 @@ def op5_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every row of ``docs`` as often as its copies say."""
-    feats = checkpointed(features(docs.withColumnRenamed("lang", "domain"), ["doc_id", "domain"]))
-    apply = mix(feats, _labels(spark, sf_dir))
+    named, labels = docs.select("doc_id", F.col("lang").alias("domain"), "text"), _labels(spark, sf_dir)
+    found = groups(named, labels)
+    feats = checkpointed(features(named, ["doc_id", "domain"], found))
+    apply = mix(feats, labels)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id"), F.col("text"))
-    mixed = apply(features(rows, ["_row", "doc_id"])).where("_copies > 0")
+    mixed = apply(features(rows, ["_row", "doc_id"], found)).where("_copies > 0")
     return mixed.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 

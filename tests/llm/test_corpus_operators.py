@@ -196,13 +196,15 @@ def test_jaccard_stage_keeps_one_of_each_class(spark):
 
 def test_posteriors_equal_naive_bayes(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumnRenamed("lang", "domain")
-    feats = mixing.features(docs, ["doc_id", "domain", "source"])
+    found = mixing.groups(docs, docs)
+    assert len(found) == mixing.GROUPS and not any(a in b for a in found for b in found if a != b)
+    feats = mixing.features(docs, ["doc_id", "domain", "source"], found)
     model = mixing.learn(feats)
     texts = {r.doc_id: (r.text or "").lower() for r in docs.collect()}
     rows = feats.withColumn("p", mixing.posterior(model, F.col("_c"))).collect()
-    sums = {d: np.ones(len(mixing.GROUPS) + 1) for d in model["domains"]}
+    sums = {d: np.ones(len(found) + 1) for d in model["domains"]}
     for r in rows:
-        counts = [texts[r.doc_id].count(g) for g in mixing.GROUPS]
+        counts = [texts[r.doc_id].count(g) for g in found]
         assert r["_c"][:-1] == counts
         if r.domain is not None:
             sums[r.domain] += r["_c"]
@@ -215,7 +217,7 @@ def test_posteriors_equal_naive_bayes(spark, sf_dir):
 
 def test_rates_meet_the_targets(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumnRenamed("lang", "domain")
-    feats = mixing.features(docs, ["doc_id", "domain"])
+    feats = mixing.features(docs, ["doc_id", "domain"], mixing.groups(docs, docs))
     rows = mixing.mix(feats, docs.select("doc_id"))(feats).collect()
     got, most = np.zeros(4), sum(r["_n"] for r in rows)
     for r in rows:
@@ -231,13 +233,45 @@ def test_mixing_without_labels_or_rows(spark):
     docs = spark.createDataFrame([(1, "some text", None), (2, None, "en"), (2, None, "en"), (None, "x", "en")], "doc_id long, text string, domain string")
     none = spark.createDataFrame([], LABELS)
     for rows in (docs, docs.limit(0)):
-        feats = mixing.features(rows, ["doc_id", "domain"])
+        assert mixing.groups(rows, none) == []
+        feats = mixing.features(rows, ["doc_id", "domain"], [])
         assert all(r["_copies"] == 1 for r in mixing.mix(feats, none)(feats).collect())
     some = spark.createDataFrame([(2, 1, 0)], LABELS)
-    feats = mixing.features(docs, ["doc_id", "domain"])
+    feats = mixing.features(docs, ["doc_id", "domain"], mixing.groups(docs, some))
     assert mixing.mix(feats, some)(feats).count() == 4
 
 
+def test_groups_of_other_scripts(spark):
+    texts = {"ru": "москва слезам не верит никогда", "el": "η γλώσσα είναι ελληνική πάντα", "ja": "これは日本語の文です", "en": "this is the english one"}
+    docs = spark.createDataFrame([(k, t, d) for k, (d, t) in enumerate(texts.items())], "doc_id long, text string, domain string")
+    found = mixing.groups(docs, docs)
+    assert all(any(g in t for g in found) for t in texts.values()) and len(found) == mixing.GROUPS
+    feats = mixing.features(docs, ["doc_id", "domain"], found)
+    model = mixing.learn(feats)
+    rows = feats.withColumn("p", mixing.posterior(model, F.col("_c"))).collect()
+    assert all(model["domains"][int(np.argmax(r.p))] == r.domain for r in rows)
+
+
+def test_rates_against_least_squares(spark):
+    rng = np.random.default_rng(4)
+    n, p = rng.integers(1, 400, 300).astype(float), rng.dirichlet([0.4, 0.4, 0.4], 300)
+    rows = spark.createDataFrame([(float(a), [float(x) for x in b]) for a, b in zip(n, p)], "_n double, _p array<double>")
+    aim = {"a": 0.7, "b": 0.2, "c": 0.1}
+    found = mixing.fit(rows, sorted(aim), aim)
+    rates = np.array([r[0] for r in rows.select(mixing.rate(found["directions"], found["start"], F.col("_p"))).collect()])
+    # the same objective by coordinate descent
+    a, t = (n[:, None] * p).T, found["wanted"]
+    r, left = np.zeros(len(n)), -t.copy()
+    for _ in range(200):
+        for j in range(len(n)):
+            step = max(-r[j], -(a[:, j] @ left) / (a[:, j] @ a[:, j]))
+            r[j] += step
+            left += step * a[:, j]
+    ours = np.abs(a @ rates - t).max()
+    assert (rates >= 0).all() and (rates == 0).any()
+    assert np.abs(left).max() <= 1e-6 * t.sum() and ours <= 1e-3 * t.sum(), (ours, t)
+
+
 def test_mixing_learns_from_every_labelled_row(spark, tmp_path):
     en, de = "the weather with thy wooden wheel why", "schön für die einen zwei kleinen schüler"
     docs = [(k, en if k % 2 else de, "en" if k % 2 else "de", "s", 40) for k in range(8)]
