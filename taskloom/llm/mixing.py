@@ -95,12 +95,20 @@ def groups(docs: DataFrame, labels: DataFrame) -> list[str]:
 
 
 def _counts(low: Column, found: list[str]) -> Column:
-    """Occurrences of each group in lower-cased text, and of all other characters."""
-    hits = [F.floor((F.octet_length(low) - F.octet_length(F.replace(low, F.lit(g), F.lit("")))) / len(g.encode())).cast("int") for g in found]
-    rest = F.length(low)
-    for h, g in zip(hits, found, strict=True):
-        rest = rest - h * len(g)
-    return F.array(*hits, F.greatest(rest, F.lit(0)))
+    """Occurrences of each group in lower-cased text, each in what the groups before it left, and the letters left over.
+
+    Taking the groups out in turn reads a shorter text each time, and no letter counts twice.
+    """
+    start = F.struct(low.alias("t"), F.array().cast("array<int>").alias("n"))
+    size = lambda left: F.concat(left["n"], F.array(F.octet_length(left["t"])))
+
+    def close(left: Column) -> Column:
+        n = [left["n"][k] for k in range(len(found))] + [F.octet_length(left["t"])]
+        hits = [F.floor((a - b) / len(g.encode())).cast("int") for a, b, g in zip(n, n[1:], found, strict=False)]
+        return F.array(*hits, F.length(left["t"]))
+
+    take = lambda left, g: F.struct(F.replace(left["t"], g, F.lit("")).alias("t"), size(left).alias("n"))
+    return F.aggregate(F.array(*map(F.lit, found)).cast("array<string>"), start, take, close)
 
 
 def _words(text: Column) -> Column:
