@@ -149,37 +149,40 @@ def custom(after):
     return each
 
 
+# fixed values: the shapes of expressions that have words, and the words; "clock" is a minute and an hour, in bounds and as numbers
+CLOCK = r"0*([0-5]?\d) 0*(1?\d|2[0-3])"
+SHAPES = [
+    (r"\*/0*(\d+) \* \* \* \*", "every {1 minute}"),
+    (r"0+ \*/0*(\d+) \* \* \*", "every {1 hour}"),
+    (r"0*(\d+) \*/0*(\d+) \* \* \*", "every {2 hour} at minute {1}"),
+    (r"0 \* \* \* \*", "every hour"),
+    (CLOCK + r" \* \* \*", "every day at {clock}"),
+    (CLOCK + r" \* \* ([0-7])", "every {3 day} at {clock}"),
+    (CLOCK + r" 0*(\d+) \* \*", "every month on day {3} at {clock}"),
+]
+HOURS = [f"{(h + 11) % 12 + 1}{{}} {'AM' if h < 12 else 'PM'}" for h in range(24)]
+
+
 def prose(expression: Column) -> Column:
     """A cron expression in words; expressions without such words come back trimmed."""
     raw = F.btrim(expression, F.lit(" \t\n\r\f\x0b"))
-
-    def words(raw: Column) -> Column:
-        part = F.split(raw, r"\s+")
-        minute, hour, dom, month, dow = (F.get(part, F.lit(k)) for k in range(5))
-        every = lambda c: F.try_to_number(F.regexp_extract(c, r"^\*/(\d+)$", 1), F.lit("999999999")).cast("long")
-        # bounded fields as numbers; longer digits are out of bounds anyway
-        m, h, d = (F.when(c.rlike(r"^\d+$"), F.substring(F.concat(F.regexp_replace(c, "^0+(?=.)", ""), F.lit("")), 1, 9).cast("long")) for c in (minute, hour, dom))
-        plural = lambda n, unit: F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n == 1, "").otherwise("s"))
-        half = F.when(h >= 12, " PM").otherwise(" AM")
-        twelve = F.when(h % 12 == 0, F.lit(12)).otherwise(h % 12).cast("string")
-        clock = (
-            F.when((h == 0) & (m == 0), "midnight")
-            .when((h == 12) & (m == 0), "noon")
-            .when(m == 0, F.concat(twelve, half))
-            .otherwise(F.concat(twelve, F.lit(":"), F.lpad(m.cast("string"), 2, "0"), half))
-        )
-        any_day = (dom == "*") & (dow == "*")
-        timed = m.isNotNull() & h.isNotNull()
-        return (
-            F.when((F.size(part) != 5) | (month != "*"), raw)
-            .when(minute.rlike(r"^\*/\d+$") & (hour == "*") & any_day, F.concat(F.lit("every "), plural(every(minute), "minute")))
-            .when(m.isNotNull() & hour.rlike(r"^\*/\d+$") & any_day, F.concat(F.lit("every "), plural(every(hour), "hour"), F.when(m == 0, "").otherwise(F.concat(F.lit(" at minute "), m.cast("string")))))
-            .when((minute == "0") & (hour == "*") & any_day, "every hour")
-            .when(timed & ((m > 59) | (h > 23)), raw)
-            .when(timed & any_day, F.concat(F.lit("every day at "), clock))
-            .when(timed & (dom == "*") & dow.rlike("^[0-7]$"), F.concat(F.lit("every "), F.get(F.array(*map(F.lit, DAYS)), dow.try_cast("int")), F.lit(" at "), clock))
-            .when(timed & d.isNotNull() & (dow == "*"), F.concat(F.lit("every month on day "), d.cast("string"), F.lit(" at "), clock))
-            .otherwise(raw)
-        )
-
-    return F.transform(F.array(raw), words)[0]
+    spaced = F.regexp_replace(raw, r"\s+", " ")
+
+    def filled(shape: str, slot: str) -> Column:
+        """What stands for a slot of a wording."""
+        part = lambda k: F.regexp_extract(spaced, f"^{shape}$", int(k))
+        if slot == "clock":
+            minute, hour = F.lpad(part(1), 2, "0"), part(2).try_cast("int")
+            shown = F.replace(F.get(F.array(*map(F.lit, HOURS)), hour), F.lit("{}"), F.when(minute == "00", "").otherwise(F.concat(F.lit(":"), minute)))
+            return F.when((hour == 0) & (minute == "00"), "midnight").when((hour == 12) & (minute == "00"), "noon").otherwise(shown)
+        k, *unit = slot.split()
+        if unit == ["day"]:
+            return F.get(F.array(*map(F.lit, DAYS)), part(k).try_cast("int"))
+        return F.concat(part(k), F.lit(f" {unit[0]}"), F.when(part(k) == "1", "").otherwise("s")) if unit else part(k)
+
+    words = F.when(raw.isNull(), raw)
+    for shape, wording in SHAPES:
+        # odd pieces are slots
+        pieces = re.split(r"[{}]", wording)
+        words = words.when(spaced.rlike(f"^{shape}$"), F.concat(*[filled(shape, x) if k % 2 else F.lit(x) for k, x in enumerate(pieces) if x]))
+    return words.otherwise(raw)

@@ -30,10 +30,8 @@ SCANS = {
     "src_load_status": "select id, status, status in ('completed', 'failed', 'cancelled') as terminal from f_jobs",
     "src_load_result": """select id, case status when 'completed' then 'value' when 'failed' then 'error' when 'cancelled' then 'cancelled' else 'not finished' end as outcome,
         case when status = 'failed' then last_error end as error from f_jobs""",
-    "src_events": "select event_id, ts, queue, job_id, type from f_events",
     "src_raw_insert": """select id, type, queue, coalesce(tenant, '') as tenant, 'pending' as status, coalesce(priority, 0) as priority, 0 as attempt,
         3 as max_retries, args from f_jobs""",
-    "snk_watch_events": "select event_id, queue, type from f_events where queue in ('q0', 'q2')",
 }
 
 FILTERS = {
@@ -276,13 +274,4 @@ TRANSITIONS = {
     "dml_signal_drain": "select id, AS_OF as consumed_at from f_signals where consumed_at is null and name = 'user'",
 }
 
-#: Closed forms of streaming results.
-STREAM_FORMS = {
-    "str_rate_window": "select queue, cast(date_trunc('minute', ts) as timestamp) as window_start, least(count(*), 2) as admitted, greatest(count(*) - 2, 0) as denied from f_events group by queue, cast(date_trunc('minute', ts) as timestamp)",
-    "str_slots": "select slot_name, count(case when expires_at >= AS_OF then 1 end) as live, count(case when expires_at < AS_OF then 1 end) as expired from f_slots where job_id <> -1 group by slot_name",
-    "str_lease": "select scope_hash as name, case when expires_at < AS_OF then 'me' else cast(job_id as string) end as owner from f_unique_locks",
-    "str_signal_mailbox": "select job_id, name, min(id) as head, count(*) as depth from f_signals where consumed_at is null group by job_id, name",
-    "str_resume": "select distinct j.id from f_jobs j left join f_signals s on s.job_id = j.id and s.consumed_at is null where j.status = 'waiting' and (s.id is not null or j.run_at <= AS_OF)",
-}
-
-ALL = {**SCANS, **FILTERS, **JOINS, **AGGREGATES, **WINDOWS, **SORTS, **SETS, **INVARIANTS, **FUNCTIONS, **TRANSITIONS, **STREAM_FORMS}
+ALL = {**SCANS, **FILTERS, **JOINS, **AGGREGATES, **WINDOWS, **SORTS, **SETS, **INVARIANTS, **FUNCTIONS, **TRANSITIONS}

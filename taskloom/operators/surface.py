@@ -13,9 +13,11 @@ from taskloom.sources import fixtures
 from taskloom.streaming import state
 
 ALL: dict[str, tuple] = {}  # name -> (Spark callable, oracle SQL)
+TEXTS: dict[str, str] = {}  # name -> its SQL for Spark, where it has one
 
 
 def _sql(name: str, ours: str, theirs: str | None = None) -> None:
+    TEXTS[name] = ours
     ALL[name] = (lambda spark, sf_dir, text=ours: fixtures.run(spark, sf_dir, text)), fixtures.expand(ours if theirs is None else theirs)
 
 
@@ -253,8 +255,6 @@ def _fanned_in(spark, sf_dir):
     return handlers.fan_in(fixtures.view(spark, sf_dir, "f_sub_jobs")).select("fan_out_id", F.array_join(F.transform("results", lambda r: r.cast("long").cast("string")), ",").alias("results"))
 
 
-_sql("udf_backoff", "select id, least(60, cast(power(2, attempt) as bigint)) as delay_s from f_jobs")
-_sql("udf_is_failure", "select id, last_error <> '' and last_error <> 'boom 3' as failure from f_jobs")
 _sql("udf_partition_key", "select id, concat('cap:', tenant) as cap_key, case when type like '%building' then concat('rate:', queue, ':', tenant) else '' end as rate_key from f_jobs")
 _sql(
     "udf_phase",
@@ -285,23 +285,12 @@ _sql(
     """select j.id as parent_job_id, f.id as fan_out_id, 'waiting' as status, cast(f.total_count as int) as total_count, '' as locked_by from f_jobs j join f_fan_outs f on f.parent_job_id = j.id
         where j.status = 'running' and j.locked_by = 'w5'""",
 )
-_sql("str_depth_snapshot", "select queue, AS_OF as bucket_ts, count(case when status = 'pending' then 1 end) as pending, count(case when status = 'running' then 1 end) as running from f_jobs group by queue")
 _sql(
     "str_rate_refund",
     """select queue, window_start, cast(last_sum - least(0, low) as bigint) as used from (select queue, window_start, sum(delta) as last_sum, min(running) as low from
         (select queue, window_start, delta, sum(delta) over (partition by queue, window_start order by ts, event_id rows between unbounded preceding and current row) as running
         from (select queue, event_id, ts, cast(date_trunc('hour', ts) as timestamp) as window_start, case when type = 'job.started' then 1 else -1 end as delta from f_events where type in ('job.started', 'job.paused')) a) b group by queue, window_start) c""",
 )
-_sql(
-    "str_signal_timeout",
-    """select w.id, s.signal_id, case when s.signal_id is not null then 'signal' when w.deadline <= AS_OF then 'timed_out' else 'waiting' end as outcome
-        from (select id, created_at + cast(id % 2000 as int) * interval '1' day as deadline from f_jobs where status = 'waiting') w
-        left join (select job_id, min(id) as signal_id from f_signals where consumed_at is null and name = 'user' group by job_id) s on s.job_id = w.id""",
-)
-_sql(
-    "str_durable_timer",
-    "select id, wake_at, wake_at <= AS_OF as woke from (select id, created_at + cast(id % 2000 as int) * interval '1' day as wake_at from f_jobs where status = 'waiting') x",
-)
 _both(
     "str_scheduler",
     """select name, (newest * d) as fire_s, newest - oldest as missed from (select name, d, cast(floor(n / cast(d as double)) as bigint) as newest, cast(floor(p / cast(d as double)) as bigint) + 1 as oldest
@@ -327,14 +316,13 @@ def _steps(key: str, start: str, then: str, out: str, only: str = "true") -> str
 _REFILL = "least(cast(3 as double), w.tokens + (e.us - w.us) / cast(1000000 as double) * cast(0.002 as double))"
 
 
-def _bucket(spark, sf_dir):
-    return state.in_batch(_events(spark, sf_dir, "queue"), state.bucket_step(0.002, 3), "key string, event_id long, admitted boolean")
+BUCKET = (0.002, 3)
+BUCKET_ORACLE = _steps("queue", "cast(2 as double) as tokens, true as admitted", f"{_REFILL} - case when {_REFILL} >= 1 then 1 else 0 end, {_REFILL} >= 1", "admitted")
 
 
-for _name in ("win_token_bucket", "str_token_bucket"):
-    ALL[_name] = _bucket, fixtures.expand(
-        _steps("queue", "cast(2 as double) as tokens, true as admitted", f"{_REFILL} - case when {_REFILL} >= 1 then 1 else 0 end, {_REFILL} >= 1", "admitted")
-    )
+@_query("win_token_bucket", BUCKET_ORACLE)
+def _bucket(spark, sf_dir):
+    return state.in_batch(_events(spark, sf_dir, "queue"), state.bucket_step(*BUCKET), "key string, event_id long, admitted boolean")
 
 
 @_query(

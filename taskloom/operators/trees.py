@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taskloom.sources import sinks
+
 # fixed values: bounds of the walks
 MAX_HOPS, MAX_SHOWN = 100, 1000
 # levels after which the rows seen so far are cut off from their plan
@@ -17,11 +19,10 @@ LEVELS_A_PLAN = 32
 
 
 def checkpointed(rows: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder of ``spark.checkpoint.dir``; below the warehouse where that's unset (tests)."""
+    """Cuts the lineage in the shared folder."""
     spark = rows.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        spark.sparkContext.setCheckpointDir(sinks.shared_folder(spark))
     return rows.checkpoint(eager=True)
 
 
@@ -30,9 +31,10 @@ def subtree(jobs: DataFrame, roots: DataFrame, max_depth: int | None = None) ->
 
     Goes as deep as the tree; over ``max_depth``, if given, it raises rather than leave jobs out.
     """
-    links = jobs.select(F.col("id"), F.col("parent_job_id").alias("_up")).where(F.col("_up").isNotNull())
     # exploded, as a checkpoint keeps its plan's constraints under stale names, on which the union fails
     bare = lambda rows: rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("_r")).select("_r.*")
+    # two columns, so a level doesn't run the plan of ``jobs`` again
+    links = checkpointed(bare(jobs.select(F.col("id"), F.col("parent_job_id").alias("_up")).where(F.col("_up").isNotNull())))
     frontier = checkpointed(bare(roots.select("id").distinct()))
     seen, depth = frontier.withColumn("depth", F.lit(0)), 0
     while True:

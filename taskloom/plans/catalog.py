@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from taskloom.functions import redaction
-from taskloom.operators import extended, relational, surface
+from taskloom.operators import extended, live, relational, surface
 from taskloom.plans.registry import ENTRIES, register
 from taskloom.sources import fixtures
 from taskloom.streaming import events
@@ -18,6 +18,8 @@ def _run(sql: str, spark, sf_dir: str):
 
 
 for _name, _sql in {**relational.ALL, **extended.ALL}.items():
+    if _name in live.ALL:
+        continue
     _ours, _theirs = (_sql, _sql) if isinstance(_sql, str) else _sql
     register(_name, partial(_run, _ours), fixtures.expand(_theirs))
 
@@ -40,7 +42,7 @@ register("fn_sanitize_error", lambda spark, sf_dir: _payloads(spark, sf_dir).sel
 register("str_tumbling_minute", _minutes, fixtures.expand("select queue, bucket_ts, completed, failed, retried from f_job_stats"))
 register("str_filter_out", _queue_events, fixtures.expand("select event_id, queue, type from f_events where queue in ('q1', 'q3')"))
 
-for _name, (_ours, _theirs) in surface.ALL.items():
+for _name, (_ours, _theirs) in {**surface.ALL, **live.ALL}.items():
     register(_name, _ours, _theirs)
 
 

@@ -121,9 +121,13 @@ def expand(sql: str) -> str:
     return text.replace("AS_OF", AS_OF)
 
 
+def _zoneless(sql: str) -> str:
+    return sql.replace("timestamp '", "timestamp_ntz '").replace("as timestamp)", "as timestamp_ntz)")
+
+
 def spark_text(sql: str, sf_dir: str) -> str:
     """The same text for Spark: timestamps without zone, tables read from ``sf_dir``."""
-    text = expand(sql).replace("timestamp '", "timestamp_ntz '").replace("as timestamp)", "as timestamp_ntz)")
+    text = _zoneless(expand(sql))
     text = re.sub(r"\bsha256\((\w+)\)", r"sha2(\1, 256)", text)
     names = "|".join(TABLES)
     return re.sub(rf"\b(from|join) ({names})\b", lambda m: f"{m[1]} parquet.`{sf_dir}/{m[2]}.parquet`", text)
@@ -136,3 +140,12 @@ def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived table as a DataFrame."""
     return run(spark, sf_dir, f"select * from {name}")
+
+
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A derived table of one base table as a stream over that table's files."""
+    text = _zoneless(VIEWS[name])
+    (table,) = set(re.findall(r"\bfrom (\w+)", text))
+    # a pattern, as a stream's plain path must be a folder
+    rows = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{table}.parquet").schema).parquet(f"{sf_dir}/{table}.parque[t]")
+    return spark.sql(re.sub(rf"\bfrom {table}\b", "from {rows}", text), rows=rows)

@@ -66,6 +66,36 @@ def lock_step(ttl: int) -> Step:
     return step
 
 
+def slot_step(limit: int, ttl: int) -> Step:
+    """(key, event_id, admitted) of leases on ``limit`` slots; a lease with one slot has one owner.
+
+    A holder that is live renews; else it's admitted if a slot is free or has
+    expired. The state is at most ``limit`` leases.
+    """
+
+    def step(state, row):
+        held = {w: e for w, e in zip(*state, strict=True) if e > row.at} if state else {}
+        admitted = row.worker in held or len(held) < limit
+        if admitted:
+            held[int(row.worker)] = int(row.at + ttl)
+        return (list(held), list(held.values())), [(row.key, row.event_id, admitted)]
+
+    return step
+
+
+def mailbox_step(state, row):
+    """(key, event_id, taken, depth) of a first-in first-out mailbox: 'job.started' sends the event's id, 'job.completed' takes the oldest.
+
+    The state is the signals that nobody took yet.
+    """
+    box, taken = list(state[0]) if state else [], None
+    if row.type == "job.started":
+        box.append(int(row.event_id))
+    elif row.type == "job.completed" and box:
+        taken = box.pop(0)
+    return (box,), [(row.key, row.event_id, taken, len(box))]
+
+
 def status_step(state, row):
     """(key, event_id, before, after) of a job's status; an event that may not move it leaves it."""
     (before,) = state or ("pending",)
@@ -78,6 +108,7 @@ def in_batch(rows: DataFrame, step: Step, schema: str) -> DataFrame:
     names = [f.name for f in rows.sparkSession.createDataFrame([], schema).schema]
 
     def walk(parts):
+        # a key's rows arrive in order
         key, state = None, None
         for part in parts:
             out = []

@@ -2,13 +2,15 @@
 
 import datetime as dt
 import random
+import threading
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from taskloom.functions import schedules, texts
-from taskloom.operators import handlers, trees
+from taskloom.operators import handlers, policies, trees
 from taskloom.sources import sinks
 from taskloom.streaming import state
 
@@ -67,6 +69,7 @@ def test_prose(spark):
     want = {
         None: None, "": "", "0 0 * * *": "every day at midnight", "0 12 * * 7": "every Sunday at noon", "30 13 * * *": "every day at 1:30 PM", "*/1 * * * *": "every 1 minute",
         "7 */2 * * *": "every 2 hours at minute 7", "0 */1 * * *": "every 1 hour", "61 1 * * *": "61 1 * * *", "0 9 15 * *": "every month on day 15 at 9 AM", "0 9 15 * 1": "0 9 15 * 1", " 1 2 3 ": "1 2 3",
+        "05 00 * * *": "every day at 12:05 AM", "5 23 * * 0": "every Sunday at 11:05 PM", "0 24 * * *": "0 24 * * *", "0 * * * *": "every hour", " 0\t12  1 * * ": "every month on day 1 at noon", "0 12 1 5 *": "0 12 1 5 *",
     }
     rows = spark.createDataFrame([(k,) for k in want], "c string")
     assert dict(rows.select("c", schedules.prose(F.col("c"))).collect()) == want
@@ -199,3 +202,56 @@ def test_trees(spark):
     few = trees.shown(jobs, root(0), 5).collect()
     assert [r.id for r in few] == [1, 2, 3, 4, 5] and all(r.truncated for r in few)
     assert not any(r.truncated for r in trees.shown(jobs, root(34), 5).collect())
+
+
+def test_slots_and_mailbox_by_hand(spark):
+    shape = "key long, event_id long, type string, worker long, at long"
+    rows = [(1, 1, "", 7, 0), (1, 2, "", 8, 5), (1, 3, "", 9, 6), (1, 4, "", 7, 9), (1, 5, "", 9, 15), (1, 6, "", 8, 16), (1, 7, "", 7, 19), (1, 8, "", 8, 25)]
+    got = state.in_batch(spark.createDataFrame(rows, shape), state.slot_step(2, 10), "key long, event_id long, admitted boolean")
+    # 9 waits until the lease of 8 ends at 15, then 8 is out until one of 7 (renewed to 29) or 9 (25) ends
+    assert {r.event_id: r.admitted for r in got.collect()} == {1: True, 2: True, 3: False, 4: True, 5: True, 6: False, 7: True, 8: True}
+    kinds = ["job.completed", "job.started", "job.started", "job.failed", "job.completed", "job.completed", "job.completed"]
+    got = state.in_batch(spark.createDataFrame([(1, k, t, 0, k) for k, t in enumerate(kinds)], shape), state.mailbox_step, "key long, event_id long, taken long, depth long")
+    assert [(r.taken, r.depth) for r in got.orderBy("event_id").collect()] == [(None, 0), (None, 1), (None, 2), (None, 2), (1, 1), (2, 0), (None, 0)]
+
+
+def test_keyed_merges(spark, tmp_path):
+    path, shape = str(tmp_path / "t"), "k long, v long"
+    for n, rows in enumerate([[(1, 1), (2, 2)], [], [(2, 5), (3, None)]]):
+        for _ in range(2):  # a retry
+            sinks.append_once(spark.createDataFrame(rows, shape), path, n)
+    assert sorted(map(tuple, sinks.newest(sinks.batches(spark, path, shape), ["k"]).collect())) == [(1, 1), (2, 5), (3, None)]
+    assert sorted(map(tuple, sinks.added(sinks.batches(spark, path, shape), ["k"]).collect())) == [(1, 1), (2, 7), (3, None)]
+
+
+def test_single_flight():
+    cache, loads, gate = sinks.HotCache(60), [], threading.Event()
+
+    def load():
+        loads.append(1)
+        gate.wait(5)
+        return len(loads)
+
+    with ThreadPoolExecutor(4) as pool:
+        calls = [pool.submit(cache.get, "a", load) for _ in range(4)]
+        gate.set()
+        assert [c.result() for c in calls] == [1] * 4 and len(loads) == 1
+
+
+def test_policies(spark):
+    rows = spark.createDataFrame([(0, None, None), (1, "", False), (9, "boom", False), (2, "ok", False), (3, "", True)], "n int, e string, p boolean")
+    odd = lambda n, e: F.when(e == "boom", -5)
+    got = rows.select(
+        policies.retry_delay(F.col("n"), F.col("e")).alias("a"), policies.retry_delay(F.col("n"), F.col("e"), odd).alias("b"),
+        policies.is_failure(F.col("e"), F.col("p"), lambda e: F.when(e == "ok", False)).alias("f"), policies.partition_key("cap", [F.col("e")], F.col("n") > 1).alias("k"),
+    ).collect()
+    assert [r.a for r in got] == [1, 2, 60, 4, 8] and {r.b for r in got} == {0.0}
+    assert [r.f for r in got] == [False, False, True, False, True] and [r.k for r in got] == ["", "", "cap:boom", "cap:ok", "cap:"]
+    mark = lambda name: lambda df, then: then(df.withColumn("t", F.concat("t", F.lit(name))))
+    stop = lambda df, then: df
+    start = spark.createDataFrame([("",)], "t string")
+    end = lambda df: df.withColumn("t", F.concat("t", F.lit(".")))
+    assert policies.chain(start, [mark("a"), mark("b")], end).first().t == "ab." and policies.chain(start, [mark("a"), stop, mark("b")], end).first().t == "a"
+    assert policies.chain(start, [], end).first().t == "."
+    with pytest.raises(ValueError):
+        policies.Hooks().on("nothing", print)
