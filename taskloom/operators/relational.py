@@ -156,8 +156,16 @@ AGGREGATES = {
         when started_at <= created_at + interval '5' minute then '<=5m' else '>5m' end as bucket, count(*) as n from f_jobs where started_at is not null group by 1, 2""",
     "agg_reclaim_counts": "select case when last_heartbeat_at is null then 'never_beat' else 'stale' end as reason, count(*) as n from f_jobs where status = 'running' group by 1",
     "agg_saturation": "select slot_name, round(cast(count(case when job_id <> -1 and expires_at >= AS_OF then 1 end) as double) / 4, 6) as ratio from f_slots group by slot_name",
-    "agg_percentile_nr": """with r as (select queue, duration_s, row_number() over (partition by queue order by duration_s, event_id) as k, count(*) over (partition by queue) as n from f_events)
+    # a sketch bounds where the ranks lie (its error is 1/1000, the bounds 4/1000 off), so only the values there are sorted
+    "agg_percentile_nr": (
+        """with parts as (select queue, n, p, get(q, at) as lo, get(q, at + 1) as hi from (select queue, n, q, explode(map(50, 0, 95, 2)) as (p, at) from
+        (select queue, count(*) as n, percentile_approx(duration_s, array(0.496, 0.504, 0.946, 0.954), 1000) as q from f_events where duration_s is not null group by queue) x) y),
+        g as (select e.queue, p, n, case when duration_s >= lo then duration_s end as v, count(*) as k from f_events e join parts b on b.queue = e.queue where duration_s <= hi group by 1, 2, 3, 4),
+        r as (select queue, p, v, sum(k) over (partition by queue, p order by v nulls first) >= floor((n * p + 99) / 100) as there from g)
+        select queue, min(case when p = 50 and there then v end) as p50, min(case when p = 95 and there then v end) as p95 from r group by queue""",
+        """with r as (select queue, duration_s, row_number() over (partition by queue order by duration_s, event_id) as k, count(*) over (partition by queue) as n from f_events where duration_s is not null)
         select queue, max(case when k = floor((n * 50 + 99) / 100) then duration_s end) as p50, max(case when k = floor((n * 95 + 99) / 100) then duration_s end) as p95 from r group by queue""",
+    ),
     "agg_time_domain": "select queue, min(started_at) as first_start, max(completed_at) as last_end from f_jobs group by queue",
     "agg_dup_groups": "select unique_key, count(*) as n from f_jobs where unique_key <> '' and status in ('pending', 'running') group by unique_key having count(*) > 1",
     "agg_sum_coalesce": "select cast(coalesce(sum(attempt), 0) as bigint) as attempts from f_jobs where queue = 'none'",
@@ -172,9 +180,21 @@ WINDOWS = {
     "win_rate_admission": """select event_id from (select event_id, row_number() over (partition by queue, cast(date_trunc('minute', ts) as timestamp) order by ts, event_id) as k from f_events) where k <= 2""",
     "win_fifo_signals": "select id, job_id, name, cast(row_number() over (partition by job_id, name order by created_at, id) as bigint) as position from f_signals where consumed_at is null",
     "win_inbatch_dedup": "select id, unique_key, first_value(id) over (partition by unique_key order by id) as kept_id from f_jobs where unique_key <> ''",
-    "win_consecutive_orphans": """with e as (select queue, event_id, ts, type, row_number() over (partition by queue order by ts, event_id) - row_number() over (partition by queue, type order by ts, event_id) as island from f_events)
+    # a queue is cut by the hour, with what the hours before carry over, so a hot one isn't one window
+    "win_consecutive_orphans": (
+        """with e as (select queue, event_id, ts, date_trunc('hour', ts) as h, type = 'job.failed' as failed from f_events),
+        b as (select queue, h, coalesce(sum(k) over (partition by queue order by h rows between unbounded preceding and 1 preceding), 0) as carried from (select queue, h, count_if(not failed) as k from e group by queue, h) x),
+        i as (select e.queue, event_id, failed, carried + count_if(not failed) over (partition by e.queue, e.h order by ts, event_id) as island from e join b on b.queue = e.queue and b.h = e.h)
+        select queue, min(event_id) as first_event, count(*) as run from i where failed group by queue, island having count(*) >= 3""",
+        """with e as (select queue, event_id, ts, type, row_number() over (partition by queue order by ts, event_id) - row_number() over (partition by queue, type order by ts, event_id) as island from f_events)
         select queue, min(event_id) as first_event, count(*) as run from e where type = 'job.failed' group by queue, island having count(*) >= 3""",
-    "win_status_transitions": "select event_id, queue, type, lag(type) over (partition by queue order by ts, event_id) as before from f_events",
+    ),
+    "win_status_transitions": (
+        """with e as (select event_id, queue, type, ts, date_trunc('hour', ts) as h from f_events),
+        b as (select queue, h, lag(ended) over (partition by queue order by h) as carried from (select queue, h, max_by(type, struct(ts, event_id)) as ended from e group by queue, h) x)
+        select event_id, e.queue, type, coalesce(lag(type) over (partition by e.queue, e.h order by ts, event_id), carried) as before from e join b on b.queue = e.queue and b.h = e.h""",
+        "select event_id, queue, type, lag(type) over (partition by queue order by ts, event_id) as before from f_events",
+    ),
 }
 
 SORTS = {
@@ -234,7 +254,7 @@ FUNCTIONS = {
     "fn_unique_key_ok": "select id, length(unique_key) <= 255 as ok from f_jobs",
     "fn_trunc_minute": "select event_id, cast(date_trunc('minute', ts) as timestamp) as minute from f_events",
     "fn_clamp": "select id, least(greatest(attempt * 60 - 30, 0), 100) as retries, greatest(attempt - 1, 0) as floored from f_jobs",
-    "fn_backoff": "select id, least(power(2.0, attempt), 60.0) as delay_s from f_jobs",
+    "fn_backoff": "select id, greatest(0, least(0.5 * power(cast(3 as double), attempt), 60) * (1 + 0.1 * (2 * ((id * 7919 % 1000) / cast(1000 as double)) - 1))) as delay_s from f_jobs",
     "fn_rate_ceiling": "select name, cast(ceil(every_minutes / 60.0 * 7) as bigint) as ceiling from f_scheduled_fires",
     "fn_rate_window": "select name, case when every_minutes > 60 then cast(ceil(every_minutes / 60.0) as bigint) else cast(1 as bigint) end as window_s from f_scheduled_fires",
     "fn_slot_ttl": "select name, greatest(every_minutes, 3 * 20) as ttl from f_scheduled_fires",
