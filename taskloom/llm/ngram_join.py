@@ -175,8 +175,8 @@ def _signature_rows(table: pa.Table) -> np.ndarray:
 def _survivors(sig: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Those of the pairs (x, y) of rows of ``sig`` that incremental comparison keeps."""
     out = []
-    for lo in range(0, len(x), 65536):  # bounded memory
-        a, b = x[lo : lo + 65536], y[lo : lo + 65536]
+    for lo in range(0, len(x), 16384):  # bounded memory
+        a, b = x[lo : lo + 16384], y[lo : lo + 16384]
         matches, seen = np.zeros(len(a), np.int32), 0
         for n, least in _BOUNDS:
             matches += (sig[a, seen:n] == sig[b, seen:n]).sum(axis=1, dtype=np.int32)
@@ -191,7 +191,12 @@ def _survivors(sig: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarra
 def _bridges(table: pa.Table) -> pa.Table:
     """One block pair of a bucket: a spanning forest of the surviving pairs."""
     ids = table.column("id").to_numpy()
-    root = _roots(len(ids), *_survivors(_signature_rows(table), *np.nonzero(np.triu(_allowed(table), 1))))
+    sig, pairs, root = _signature_rows(table), np.triu(_allowed(table), 1), np.arange(len(ids))
+    for lo in range(0, len(ids), 128):  # bounded memory: of the survivors so far only the forest is kept
+        x, y = np.nonzero(pairs[lo : lo + 128])
+        x, y = _survivors(sig, x + lo, y)
+        tied = np.flatnonzero(root != np.arange(len(ids)))
+        root = _roots(len(ids), np.concatenate([x, tied]), np.concatenate([y, root[tied]]))
     away = root != np.arange(len(ids))
     return pa.table([pa.array(ids[away]), pa.array(ids[root[away]])], ["a", "b"])
 
