@@ -179,7 +179,12 @@ TRANSITIONS = {
     "dml_cancel_sub": "select fan_out_id, fan_out_index, case when status in ('pending', 'running') then 'cancelled' else status end as status from f_sub_jobs where fan_out_id % 3 = 0",
     "dml_fanout_status": """select f.id, case when f.status = 'pending' and s.done >= f.total_count then 'completed' else f.status end as status from f_fan_outs f
         join (select fan_out_id, count(case when status in ('completed', 'failed', 'cancelled') then 1 end) as done from f_sub_jobs group by fan_out_id) s on s.fan_out_id = f.id""",
-    "dml_retry_ui": "select id, 'pending' as status, 0 as attempt, '' as last_error from f_jobs where status in ('failed', 'cancelled') and id not in (select parent_job_id from f_sub_jobs)",
+    # "not in" makes Spark broadcast all parents; jobs of these statuses have an id, a null parent leaves none of them
+    "dml_retry_ui": (
+        """select id, 'pending' as status, 0 as attempt, '' as last_error from f_jobs j where status in ('failed', 'cancelled')
+        and not exists (select 1 from (select distinct parent_job_id from f_sub_jobs) s where s.parent_job_id = j.id) and not exists (select 1 from f_sub_jobs where parent_job_id is null)""",
+        "select id, 'pending' as status, 0 as attempt, '' as last_error from f_jobs where status in ('failed', 'cancelled') and id not in (select parent_job_id from f_sub_jobs)",
+    ),
     "dml_signal_send": "select id, job_id, name from f_signals union all select cast(-1 as bigint) as id, id as job_id, 'go' as name from f_jobs where status = 'waiting'",
 }
 

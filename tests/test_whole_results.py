@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +51,38 @@ def test_bounces_count_a_queue_whole(spark, large_dir):
     assert {r.reason: r.n for r in catalog.queries()["agg_bounce_counts"](spark, large_dir).collect()} == want
 
 
+def test_retry_takes_no_parents_to_the_driver(spark, sf_dir):
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        plan = catalog.queries()["dml_retry_ui"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(threshold, before)
+    assert "LeftAnti" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("parents", ["none", "repeated", "null"])
+def test_retry_is_not_in_for_any_parents(spark, sf_dir, tmp_path, parents):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    odd = {
+        "none": lines.limit(0),
+        "repeated": lines.where("l_orderkey % 4 > 0").crossJoin(spark.range(3).drop("id")),
+        "null": lines.withColumn("l_orderkey", F.when(F.col("l_orderkey") % 4 > 0, F.col("l_orderkey"))),
+    }
+    # an order without a key beside the others
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = orders.union(orders.limit(1).withColumn("o_orderkey", F.lit(None).cast("long")))
+    duck = duckdb.connect()
+    for name in ("orders", "lineitem", "customer", "nation", "region"):
+        rows = {"orders": orders, "lineitem": odd[parents]}.get(name)
+        (spark.read.parquet(f"{sf_dir}/{name}.parquet") if rows is None else rows).write.parquet(f"{tmp_path}/{name}.parquet")
+        duck.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    want = sorted(duck.execute(catalog.oracle_sql()["dml_retry_ui"]).fetchall())
+    assert bool(want) == (parents != "null")
+    assert sorted(map(tuple, catalog.queries()["dml_retry_ui"](spark, str(tmp_path)).collect())) == want
+
+
 def test_a_tree_is_walked_whole_or_not_at_all(spark, monkeypatch):
     monkeypatch.setattr(trees, "LEVELS_A_PLAN", 2, raising=False)
     jobs = spark.createDataFrame([(k, k - 1 if k else None) for k in range(8)], "id long, parent_job_id long")
